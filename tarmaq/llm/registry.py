@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["packing", "token_counts"]
+_MODULES = ["substring_dedup", "packing", "token_counts", "line_dedup"]
 
 
 def _collected(kind: str) -> dict:
