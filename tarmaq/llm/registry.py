@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["toxicity", "substring_dedup", "near_dedup", "mixing", "packing", "token_counts", "line_dedup"]
+_MODULES = ["toxicity", "substring_dedup", "near_dedup", "mixing", "quality", "packing", "token_counts", "line_dedup"]
 
 
 def _collected(kind: str) -> dict:
