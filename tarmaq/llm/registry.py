@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["toxicity", "substring_dedup", "near_dedup", "mixing", "quality", "packing", "token_counts", "line_dedup"]
+_MODULES = ["toxicity", "substring_dedup", "near_dedup", "mixing", "media", "quality", "packing", "token_counts", "line_dedup", "licenses"]
 
 
 def _collected(kind: str) -> dict:
@@ -16,9 +16,13 @@ def _collected(kind: str) -> dict:
 
 def queries() -> dict:
     """Name to function (spark, sf_dir) -> DataFrame."""
-    return _collected("QUERIES")
+    import corpus_pipeline
+
+    return _collected("QUERIES") | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
     """Name to DuckDB SQL, for the queries that SQL can express on whole tables."""
-    return _collected("ORACLES")
+    import corpus_pipeline
+
+    return _collected("ORACLES") | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
