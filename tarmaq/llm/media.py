@@ -244,16 +244,16 @@ def image_groups(media: DataFrame, id_column: str = "media_id", bytes_column: st
     reps = some.join(classes.select("digest", F.col("rep").alias("id")), ["digest", "id"], "left_semi").dropDuplicates(["id"])
     post = reps.select("id", F.explode("keys").alias("key"))
     shared = post.groupBy("key").agg(F.count("*").alias("df")).where("df > 1").select("key")
-    post = written(post.join(shared, "key", "left_semi"))
+    post = written(post.join(shared, "key", "left_semi").withColumn("score", F.lit(0)))
     parts = reps.select("id", "corners", "words")
 
     def confirm(pairs: DataFrame) -> DataFrame:
         whole = pairs.join(parts.toDF("a", "ca", "wa"), "a").join(parts.toDF("b", "cb", "wb"), "b")
         return whole.select("a", "b", "ca", "wa", "cb", "wb").mapInArrow(_consensus, "a long, b long")
 
-    result = linked(post, confirm, VOTES)
-    if result is not None:
-        classes = classes.join(result[1].withColumnRenamed("id", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
+    result = linked(post, confirm, votes=VOTES)
+    if result.label is not None:
+        classes = classes.join(result.label.withColumnRenamed("id", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
     else:
         classes = classes.withColumnRenamed("rep", "component")
     out = found.select("id", "digest", F.col("n").alias("n_corners")).join(classes, "digest", "left")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,25 +12,53 @@ from tarmaq.llm.components import components
 from tarmaq.llm.store import written
 
 
-def linked(post: DataFrame, confirm: Callable[[DataFrame], DataFrame], votes: int = 1, centre_rounds: int = 2) -> tuple[DataFrame, DataFrame] | None:
-    """post(key, id), distinct: (confirmed links a < b, component labels id, component), or None without candidates.
+@dataclass
+class Linked:
+    """links (a, b) that hold; label (id, component) of linked ids; open (key, id): lists that lie in several components."""
 
-    confirm takes candidate pairs (a, b), a < b, that share at least ``votes`` keys, and returns those that hold.
-    The first rounds join each list to its least, then to its greatest member, which is linear in the list.
-    Lists within one component are skipped afterwards; pairs across components that are left are joined in
-    full, so no link between two components is missed.
+    links: DataFrame | None
+    label: DataFrame | None
+    open: DataFrame
+
+
+def _members(post: DataFrame, label: DataFrame | None) -> DataFrame:
+    if label is None:
+        return post.withColumn("c", F.col("id"))
+    return post.join(label, "id", "left").select(*post.columns, F.coalesce("component", "id").alias("c"))
+
+
+def _open(member: DataFrame) -> DataFrame:
+    lists = member.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
+    return written(member.join(lists, "key", "left_semi"))
+
+
+def linked(post: DataFrame, confirm: Callable[[DataFrame], DataFrame], start: Linked | None = None, votes: int = 1, centre_rounds: int = 2, exhaustive: bool = True) -> Linked:
+    """post(key, id, score), distinct in (key, id).
+
+    confirm takes candidate pairs (a, b), a < b, that share at least ``votes`` keys, and returns those that hold. Each
+    round joins every list that is still in several components to one centre, which is linear in the list:
+    first its member of the greatest score, then that among the members outside the first one's component. With
+    ``exhaustive`` the pairs across components that are left are joined in full, so that no two components
+    with a link stay apart; without it they are returned as ``open``.
     """
+    links, label = (start.links, start.label) if start else (None, None)
     tried: DataFrame | None = None
-    links: DataFrame | None = None
-    label: DataFrame | None = None
-    for turn in range(centre_rounds + 1):
-        member = post.withColumn("c", F.col("id")) if label is None else post.join(label, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
-        lists = member.groupBy("key").agg((F.max if turn else F.min)(F.struct("id", "c")).alias("x"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi")
+    firsts: DataFrame | None = None
+    member = _open(_members(post, label))
+    top = F.max_by(F.struct("id", "c"), F.struct("score", -F.col("id"))).alias("x")
+    for turn in range(centre_rounds + int(exhaustive)):
+        if member.isEmpty():
+            break
         if turn < centre_rounds:
-            pairs = member.join(lists.select("key", F.col("x.id").alias("o"), F.col("x.c").alias("oc")), "key").where("c <> oc")
+            pool = member
+            if firsts is not None:
+                known = _members(firsts, label).select("key", F.col("c").alias("fc"))
+                pool = member.join(known, "key").where("c <> fc")
+            centres = written(pool.groupBy("key").agg(top).select("key", F.col("x.id").alias("o"), F.col("x.c").alias("oc")))
+            firsts = centres.select("key", F.col("o").alias("id")) if firsts is None else firsts
+            pairs = member.join(centres, "key").where("c <> oc")
         else:
-            left = written(member.join(lists.select("key"), "key", "left_semi"))
-            pairs = left.join(left.select("key", F.col("id").alias("o"), F.col("c").alias("oc")), "key").where("c <> oc AND id < o")
+            pairs = member.join(member.select("key", F.col("id").alias("o"), F.col("c").alias("oc")), "key").where("c <> oc AND id < o")
         pairs = pairs.select(F.least("id", "o").alias("a"), F.greatest("id", "o").alias("b")).groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= votes).select("a", "b")
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
@@ -40,4 +69,5 @@ def linked(post: DataFrame, confirm: Callable[[DataFrame], DataFrame], votes: in
         found = written(confirm(pairs))
         links = found if links is None else links.unionByName(found)
         label = components(links)
-    return None if links is None else (links, label)
+        member = _open(_members(post, label))
+    return Linked(links, label, member.select("key", "id"))
