@@ -29,7 +29,7 @@ SCALES = (1.0, 0.7, 0.5)
 #: Corners described per image, the strongest of all scales.
 CORNERS = 32
 PATCH = 13
-TURNS = 30
+TURNS = 32
 BITS = 256
 #: Shared descriptor words that make a candidate.
 VOTES = 2
