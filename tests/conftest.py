@@ -12,7 +12,7 @@ SF = "/root/testdata/sf0.001"
 def spark():
     from tarmaq.session import local_session
 
-    session = local_session(4, 4)
+    session = local_session(2, 2)
     yield session
     session.stop()
 
