@@ -7,10 +7,12 @@
    under its COORDINATES - MATCHES + 1 rarest (the prefix), and one with too few shared keys not at all.
 3. Collisions are counted on the signatures of candidate pairs; those under MATCHES are skipped, the rest
    are confirmed on the full sets.
-4. Candidates come in rounds. First every posting list is joined to its least member only, which
-   is linear in the list and links the members of large groups of copies; then to its greatest. Lists
-   that lie within one component are skipped from then on. Pairs across components that are left
-   after that are joined in full, so no link between components is missed.
+4. Candidates come in rounds. Every posting list is joined to its most central member only, which is linear in
+   the list and links most of a large group of copies. Lists within one component are skipped from then on.
+5. In the lists that are left, a group's heavily edited copies share keys with all others and links with few. Their
+   members (any link that is still missing is between two of them) are merged by exact prefixes instead: under their
+   rarest shingles, as many as two sets of the wanted similarity can't all miss. An edited copy's rarest shingles are its
+   own edits, so it meets only texts that have the same ones.
 """
 
 from __future__ import annotations
@@ -19,11 +21,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarmaq.llm import textkit
-from tarmaq.llm.components import components
+from tarmaq.llm.rounds import linked
 from tarmaq.llm.store import written
 
 WORDS = 4
@@ -32,8 +34,6 @@ PERCENT = 80
 COORDINATES = 48
 #: Binomial(48, 0.8) is below 22 with probability 3.4e-8.
 MATCHES = 22
-#: Rounds that join a posting list to one of its members.
-CENTRE_ROUNDS = 2
 
 _U = np.uint64
 _SIGNED = "doc_id long, n_shingles long, ha long, hb long, sig array<long>"
@@ -126,14 +126,29 @@ def _confirm(percent: int):
     return run
 
 
-def _prefixes(reps: DataFrame, matches: int) -> DataFrame:
-    """key, id: the postings of each representative's rarest keys, but for keys nobody shares."""
-    post = reps.select("id", F.explode("sig").alias("key"))
-    shared = post.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
-    own = post.join(shared, "key").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("keys"))
-    # Unshared keys come first in the order and fill the prefix; the rest of it are the first of these.
-    prefix = F.slice("keys", F.lit(1), F.size("keys") - (matches - 1))
-    return own.where(F.size("keys") >= matches).select("id", F.explode(prefix).alias("k")).select("id", F.col("k")["key"].alias("key"))
+def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, key) for every member of every set."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            part = batch.slice(at, 256)
+            sets = [_wide(x) for x in part.column(1)]
+            ids = np.repeat(np.asarray(part.column(0)), [len(x) for x in sets])
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.concatenate(sets).view(np.int64))], names=["id", "key"])
+
+
+def _prefixes(items: DataFrame, sizes: DataFrame, needed: Column) -> DataFrame:
+    """key, id, score: the postings of each set's rarest keys, but for keys nobody shares.
+
+    items(id, key); sizes(id, n). Two sets that share ``needed`` (of n) keys share one of the first n - needed + 1 in any
+    common order, here by rarity. Unshared keys come first in it and fill the prefix, so what is left of the
+    prefix are the first of the shared ones; a set with fewer than needed shared keys has none. score is the share
+    of shared keys: the member that others were edited from has the most.
+    """
+    shared = items.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
+    own = items.join(shared, "key").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("keys"))
+    own = own.join(sizes, "id").withColumn("needed", needed).where(F.size("keys") >= F.col("needed"))
+    prefix = F.slice("keys", F.lit(1), (F.size("keys") - F.col("needed") + 1).cast("int"))
+    return own.select("id", F.explode(prefix).alias("k"), (F.size("keys") / F.col("n")).alias("score")).select(F.col("k")["key"].alias("key"), "id", "score")
 
 
 def near_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, matches: int = MATCHES) -> DataFrame:
@@ -149,38 +164,25 @@ def near_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, mat
     signed = written(texts.mapInArrow(_sign(words), _SIGNED))
     same = ["ha", "hb", "n_shingles"]
     reps = written(signed.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy(*same).agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig")))
-    post = written(_prefixes(reps, matches))
+    sizes = reps.select("id", "n_shingles")
+    post = written(_prefixes(reps.select("id", F.explode("sig").alias("key")), sizes.withColumn("n", F.lit(COORDINATES)), F.lit(matches)))
     post = written(post.join(post.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key", "left_semi"))
     wanted = post.select("id").distinct()
     sets = written(texts.withColumnRenamed("doc_id", "id").join(wanted, "id", "left_semi").mapInArrow(_sets(words), "id long, shingles binary").dropDuplicates(["id"]))
-    tried: DataFrame | None = None
-    links: DataFrame | None = None
-    label: DataFrame | None = None
-    for turn in range(CENTRE_ROUNDS + 1):
-        member = post.withColumn("c", F.col("id")) if label is None else post.join(label, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
-        centre = F.struct("id", "c")
-        lists = member.groupBy("key").agg((F.max if turn else F.min)(centre).alias("x"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi")
-        if turn < CENTRE_ROUNDS:
-            pairs = member.join(lists.select("key", F.col("x.id").alias("o"), F.col("x.c").alias("oc")), "key").where("c <> oc")
-        else:
-            left = written(member.join(lists.select("key"), "key", "left_semi"))
-            pairs = left.join(left.select("key", F.col("id").alias("o"), F.col("c").alias("oc")), "key").where("c <> oc AND id < o")
-        pairs = pairs.select(F.least("id", "o").alias("a"), F.greatest("id", "o").alias("b")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+
+    def confirm(pairs: DataFrame) -> DataFrame:
         one, two = (reps.select(F.col("id").alias(x), F.col("n_shingles").alias(f"n{x}"), F.col("sig").alias(f"s{x}")) for x in "ab")
         near = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
         agreeing = F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda x: x))
-        pairs = written(pairs.join(one, "a").join(two, "b").where(near & (agreeing >= matches)).select("a", "b"))
-        if pairs.isEmpty():
-            if turn == 0:
-                break
-            continue
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        whole = pairs.join(sets.toDF("b", "sb"), "b").join(sets.toDF("a", "sa"), "a").select("a", "b", "sa", "sb")
-        found = written(whole.mapInArrow(_confirm(percent), "a long, b long"))
-        links = found if links is None else links.unionByName(found)
-        label = components(links)
+        likely = pairs.join(one, "a").join(two, "b").where(near & (agreeing >= matches)).select("a", "b")
+        whole = likely.join(sets.toDF("b", "zb"), "b").join(sets.toDF("a", "za"), "a").select("a", "b", "za", "zb")
+        return whole.mapInArrow(_confirm(percent), "a long, b long")
+
+    first = linked(post, confirm, exhaustive=False)
+    rest = sets.join(first.open.select("id").distinct(), "id", "left_semi").select("id", "shingles")
+    items = written(rest.mapInArrow(_shingles, "id long, key long"))
+    exact = written(_prefixes(items, sizes.select("id", F.col("n_shingles").alias("n")), F.ceil(F.col("n") * percent / 100)))
+    label = linked(exact, confirm, first).label
     classes = reps.select(*same, F.col("id").alias("rep"))
     if label is not None:
         classes = classes.join(label.select(F.col("id").alias("rep"), "component"), "rep", "left").select(*same, F.coalesce("component", "rep").alias("component"))

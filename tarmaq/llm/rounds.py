@@ -32,12 +32,12 @@ def _open(member: DataFrame) -> DataFrame:
     return written(member.join(lists, "key", "left_semi"))
 
 
-def linked(post: DataFrame, confirm: Callable[[DataFrame], DataFrame], start: Linked | None = None, votes: int = 1, centre_rounds: int = 2, exhaustive: bool = True) -> Linked:
+def linked(post: DataFrame, confirm: Callable[[DataFrame], DataFrame], start: Linked | None = None, votes: int = 1, centre_rounds: int = 1, exhaustive: bool = True) -> Linked:
     """post(key, id, score), distinct in (key, id).
 
     confirm takes candidate pairs (a, b), a < b, that share at least ``votes`` keys, and returns those that hold. Each
     round joins every list that is still in several components to one centre, which is linear in the list:
-    first its member of the greatest score, then that among the members outside the first one's component. With
+    first its member of the greatest score, later that among the members outside the first one's component. With
     ``exhaustive`` the pairs across components that are left are joined in full, so that no two components
     with a link stay apart; without it they are returned as ``open``.
     """
