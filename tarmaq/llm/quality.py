@@ -30,8 +30,8 @@ LANGUAGE_SHARE = 0.001
 #: Distances above these fail. The guards: histograms of fewer characters or words are not compared.
 MAX_CHARS, GUARD_CHARS = 0.30, 200
 MAX_WORDS, GUARD_WORDS = 0.335, 100
-#: Text bytes counted together in the first pass.
-COUNT_CHUNK = 16 << 20
+#: Text bytes whose counts a task sums before it sends them.
+COUNT_BYTES = 64 << 20
 
 #: The pooled reference, for languages without one.
 POOLED = "\0all"
@@ -59,22 +59,48 @@ def class_histograms(t: textkit.Texts) -> np.ndarray:
     return np.bincount(doc * _CLASSES + _CLASS[t.data[lead]], minlength=len(t) * _CLASSES).reshape(len(t), _CLASSES)
 
 
+def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys with their summed counts."""
+    keys, which = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+    return keys, np.bincount(which, np.concatenate([n for _, n in parts]), len(keys)).astype(np.int64)
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """lang, key, n: word hashes with their counts; keys 0 to 8 are the character classes, with class 1."""
+    """lang, kind, key, n: word hashes (kind 0) and character classes (kind 1) with their counts, summed over COUNT_BYTES of text."""
+    words: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+    shapes: dict[str, np.ndarray] = {}
+    size = 0
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        for name, parts in words.items():
+            key, n = _merged(parts)
+            kind = np.concatenate((np.zeros(len(key), np.int8), np.ones(_CLASSES, np.int8)))
+            keys = np.concatenate((key.view(np.int64), np.arange(_CLASSES)))
+            counts = np.concatenate((n, shapes[name])).astype(np.int64)
+            names = pa.DictionaryArray.from_arrays(pa.array(np.zeros(len(keys), np.int32)), pa.array([name])).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([names, pa.array(kind), pa.array(keys), pa.array(counts)], names=["lang", "kind", "key", "n"])
+        words.clear()
+        shapes.clear()
+
     for batch in batches:
-        for t in textkit.chunks(batch.column(1), COUNT_CHUNK):
+        for t in textkit.chunks(batch.column(1)):
             langs = batch.column(0).slice(t.rows.start, len(t)).fill_null("").dictionary_encode()
             lang = np.asarray(langs.indices)
             w = textkit.words(t)
             hashes = textkit.word_hashes(t, w, fold=True)
             of_word = lang[textkit.doc_of(w.first)]
-            shapes = class_histograms(t)
+            found = class_histograms(t)
             for k, name in enumerate(langs.dictionary.to_pylist()):
-                key, n = np.unique(hashes[of_word == k], return_counts=True)
-                shape = shapes[lang == k].sum(0)
-                names = pa.array([name] * (len(key) + _CLASSES))
-                kind = pa.array(np.concatenate((np.zeros(len(key), np.int8), np.ones(_CLASSES, np.int8))))
-                yield pa.RecordBatch.from_arrays([names, kind, pa.array(np.concatenate((key.view(np.int64), np.arange(_CLASSES)))), pa.array(np.concatenate((n, shape)).astype(np.int64))], names=["lang", "kind", "key", "n"])
+                mine = words.setdefault(name, [])
+                mine.append(np.unique(hashes[of_word == k], return_counts=True))
+                if len(mine) >= 8:
+                    words[name] = [_merged(mine)]
+                shapes[name] = shapes.get(name, 0) + found[lang == k].sum(0)
+            size += len(t.data)
+            if size >= COUNT_BYTES:
+                yield from flush()
+                size = 0
+    yield from flush()
 
 
 def references(docs: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -199,8 +225,63 @@ def judge(docs: DataFrame) -> DataFrame:
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts and the verdict of every document."""
-    return judge(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return judge(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("js_chars", "js_words")
+
 
+_W = "[^\\x20\\x09-\\x0D]"
+_CLASS_SQL = ("[a-z]", "[A-Z]", "[0-9]", "[ ]", "\\n", "[.,;:!?''\"()-]", None, "[#*$%&|<>]", "[^\\x00-\\x7F]")
+_COUNTS = ", ".join("length(text)" + "".join(f" - len(regexp_extract_all(text, '{c}'))" for c in _CLASS_SQL if c) if x is None else f"len(regexp_extract_all(text, '{x}'))" for x in _CLASS_SQL)
+_HALF = "CASE WHEN {x} > 0 THEN {x} * log2({x} / (({x} + {y}) / 2)) ELSE 0 END"
+_SQL = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(lang, '') AS lang, coalesce(text, '') AS text FROM documents
+), w AS (
+  SELECT r, doc_id, lang, text, regexp_extract_all(text, '{_W}+') AS ws, [{_COUNTS}] AS shape FROM d
+), lines AS (
+  SELECT r, count(*) - count(DISTINCT line) AS dup FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '{_W}') GROUP BY r
+), runs AS (
+  SELECT r, i, ws[i:i + 2] AS g FROM (SELECT r, ws, unnest(generate_series(1, len(ws) - 2)) AS i FROM w WHERE len(ws) >= 3)
+), again AS (
+  SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS n FROM runs) WHERE n > 1
+), repeats AS (
+  SELECT r, count(DISTINCT i + j) AS n FROM again, (SELECT unnest([0, 1, 2]) AS j) GROUP BY r
+), base AS (
+  SELECT w.r, doc_id, lang, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols,
+         coalesce(dup, 0) AS n_dup_lines, coalesce(repeats.n, 0) AS n_repeat_words, shape, length(text) AS size
+  FROM w LEFT JOIN lines ON lines.r = w.r LEFT JOIN repeats ON repeats.r = w.r
+), single AS (
+  SELECT r, lang, translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS x FROM (SELECT r, lang, unnest(ws) AS x FROM w)
+), totals AS (
+  SELECT lang, count(*) AS total FROM single GROUP BY lang
+), own AS (
+  SELECT lang, total FROM totals WHERE total >= {LANGUAGE_SHARE} * (SELECT sum(total) FROM totals)
+), ref AS (
+  SELECT b.*, coalesce(own.lang, chr(1)) AS ref FROM base b LEFT JOIN own ON own.lang = b.lang
+), shapes AS (
+  SELECT ref, k, sum(c) / sum(sum(c)) OVER (PARTITION BY ref) AS q FROM (
+    SELECT lang AS ref, unnest(range(1, 10)) AS k, unnest(shape) AS c FROM base UNION ALL SELECT chr(1), unnest(range(1, 10)), unnest(shape) FROM base) GROUP BY ref, k
+), common AS (
+  SELECT s.lang AS ref, x, count(*) / any_value(total) AS q FROM single s JOIN own ON own.lang = s.lang GROUP BY s.lang, x HAVING count(*) >= {COMMON} * any_value(total)
+  UNION ALL SELECT chr(1), x, count(*) / (SELECT sum(total) FROM totals) FROM single GROUP BY x HAVING count(*) >= {COMMON} * (SELECT sum(total) FROM totals)
+), far_chars AS (
+  SELECT r, sqrt(greatest(0, (sum({_HALF.format(x="p", y="q")}) + sum({_HALF.format(x="q", y="p")})) / 2)) AS c
+  FROM (SELECT r, k, p, q FROM (SELECT r, ref, unnest(range(1, 10)) AS k, unnest(shape) / size AS p FROM ref WHERE size > 0 AND n_words > 0) JOIN shapes USING (ref, k)) GROUP BY r
+), hits AS (
+  SELECT r, any_value(ref.ref) AS ref, x, count(*) / any_value(n_words) AS p FROM single JOIN ref USING (r) GROUP BY r, x
+), parts AS (
+  SELECT r, sum({_HALF.format(x="p", y="q")}) AS a, sum({_HALF.format(x="q", y="p")}) AS b, sum(p) AS ps, sum(q) AS qs FROM hits JOIN common USING (ref, x) GROUP BY r
+), rest AS (
+  SELECT ref.r, coalesce(a, 0) AS a, coalesce(b, 0) AS b, greatest(0, 1 - coalesce(ps, 0)) AS po, greatest(0, 1 - coalesce(t.q, 0)) AS qo, coalesce(t.q, 0) - coalesce(qs, 0) AS missed
+  FROM ref LEFT JOIN parts ON parts.r = ref.r LEFT JOIN (SELECT ref, sum(q) AS q FROM common GROUP BY ref) t ON t.ref = ref.ref
+), far_words AS (
+  SELECT r, sqrt(greatest(0, (a + b + missed + {_HALF.format(x="po", y="qo")} + {_HALF.format(x="qo", y="po")}) / 2)) AS v FROM rest
+), judged AS (
+  SELECT ref.*, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed,
+         (size >= {GUARD_CHARS} AND coalesce(c, 0) > {MAX_CHARS}) OR (n_words >= {GUARD_WORDS} AND v > {MAX_WORDS}) AS bad
+  FROM ref LEFT JOIN far_chars ON far_chars.r = ref.r LEFT JOIN far_words ON far_words.r = ref.r
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT bad AS kept FROM judged
+"""
 
 QUERIES = {"op6_quality_rules": op6_quality_rules}
-ORACLES: dict[str, str] = {}
+ORACLES = {"op6_quality_rules": _SQL}
