@@ -2,8 +2,9 @@
 
 1. An image is decoded to grey and scanned at several scales for corners (Harris). Each corner gets an orientation
    (intensity centroid) and a 256-bit descriptor of brightness comparisons, in a pattern turned by it.
-2. Hamming tables: every descriptor is posted under each of its four 64-bit words. Images that share words are
-   candidates: at a few changed bits in a hundred, two copies share several of their words exactly.
+2. Hamming tables: every descriptor is posted in TABLES tables, under KEY_BITS of its bits drawn for each table. Images that
+   share a key are candidates. Two descriptors that differ in 15 % of their bits share a key in two cases of three; a copy has
+   many such descriptors, so nearly every pair that consensus accepts is a candidate (measured in the tests).
 3. Geometric consensus: candidates' descriptors are matched by Hamming distance; every match proposes
    a scale, a turn and a shift, and the pair is a copy if enough matches agree on one proposal.
 Equal images are one class beforehand; lists of candidates go through ``rounds``, so groups of copies of
@@ -26,13 +27,15 @@ from tarmaq.llm.rounds import linked
 from tarmaq.llm.store import written
 
 SCALES = (1.0, 0.7, 0.5)
-#: Corners described per image, the strongest of all scales.
+#: Corners described per image, the strongest of all scales: one for so many pixels, CORNERS at least.
 CORNERS = 32
+CORNER_PIXELS = 256
 PATCH = 13
 TURNS = 32
 BITS = 256
-#: Shared descriptor words that make a candidate.
-VOTES = 2
+#: Hamming tables, the bits of a key (at most 32), and shared keys that make a candidate.
+TABLES, KEY_BITS = 48, 24
+VOTES = 1
 #: Most bits in which two matched descriptors differ.
 NEAR_BITS = 48
 #: Matches that must agree on one transform, and their least share of the image with fewer corners.
@@ -49,6 +52,7 @@ _TURNED = np.stack([np.rint(_PATTERN @ np.array([[np.cos(a), -np.sin(a)], [np.si
 _DISC = np.stack(np.meshgrid(np.arange(-PATCH, PATCH + 1), np.arange(-PATCH, PATCH + 1), indexing="ij"), -1).reshape(-1, 2)
 _DISC = _DISC[(_DISC**2).sum(1) <= PATCH**2]
 _PAD = 2 * PATCH
+_SAMPLED = np.stack([np.random.default_rng([5, k]).permutation(BITS)[:KEY_BITS] for k in range(TABLES)])
 
 
 def _png(raw: bytes) -> np.ndarray | None:
@@ -137,6 +141,7 @@ def _resize(x: np.ndarray, scale: float) -> np.ndarray:
 def describe(image: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Corners (y, x, scale, angle), in the image's own pixels, and their descriptors as four words each."""
     found, words = [], []
+    most = max(CORNERS, image.size // CORNER_PIXELS)
     for scale in SCALES:
         if min(image.shape) * scale < 16:
             continue
@@ -155,7 +160,7 @@ def describe(image: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not len(ys):
             continue
         strength = middle[ys, xs]
-        best = np.argsort(-strength, kind="stable")[:CORNERS]
+        best = np.argsort(-strength, kind="stable")[:most]
         ys, xs, strength = ys[best], xs[best], strength[best]
         patch = x[(ys[:, None] + _PAD + _DISC[:, 0]), (xs[:, None] + _PAD + _DISC[:, 1])]
         angle = np.arctan2(patch @ _DISC[:, 0], patch @ _DISC[:, 1])
@@ -168,22 +173,40 @@ def describe(image: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if not found:
         return np.zeros((0, 4), np.float32), np.zeros((0, BITS // 64), np.uint64)
     corners, bits = np.concatenate(found), np.concatenate(words)
-    best = np.argsort(-corners[:, 4], kind="stable")[:CORNERS]
+    best = np.argsort(-corners[:, 4], kind="stable")[:most]
     return corners[best, :4].astype(np.float32), bits[best]
 
 
-_POP = np.array([bin(i).count("1") for i in range(256)], np.uint8)
+def keys(words: np.ndarray) -> np.ndarray:
+    """The distinct (table, sampled bits) of some descriptors, each as one number."""
+    bits = np.unpackbits(np.ascontiguousarray(words).view(np.uint8).reshape(len(words), BITS // 8), axis=1)
+    out = np.empty((TABLES, len(words)), np.int64)
+    for k, sampled in enumerate(_SAMPLED):
+        out[k] = bits[:, sampled].astype(np.int64) @ (1 << np.arange(KEY_BITS)) | (k << 32)
+    return np.unique(out)
 
 
-def consensus(ka: np.ndarray, da: np.ndarray, kb: np.ndarray, db: np.ndarray) -> int:
-    """The most matches that agree on one scale, turn and shift."""
+def _nearest(da: np.ndarray, db: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first nearest of db for each of da, and in how many bits they differ."""
+    near, least = np.empty(len(da), np.int64), np.empty(len(da), np.int64)
+    step = max(1, (1 << 20) // len(db))
+    for at in range(0, len(da), step):
+        bits = np.bitwise_count(da[at : at + step, None, :] ^ db[None, :, :]).sum(2, dtype=np.int64)
+        near[at : at + step], least[at : at + step] = bits.argmin(1), bits.min(1)
+    return near, least
+
+
+def consensus(ka: np.ndarray, da: np.ndarray, kb: np.ndarray, db: np.ndarray, least: float = 0) -> int:
+    """The most matches that agree on one scale, turn and shift; 0 where fewer than ``least`` match at all."""
     if not len(ka) or not len(kb):
         return 0
-    bits = _POP[(da[:, None, :] ^ db[None, :, :]).view(np.uint8)].sum(2, dtype=np.int64)
-    near = bits.argmin(1)
-    own = np.flatnonzero(bits[np.arange(len(ka)), near] <= NEAR_BITS)
-    own = own[bits[:, near[own]].argmin(0) == own]
-    if not len(own):
+    near, bits = _nearest(da, db)
+    own = np.flatnonzero(bits <= NEAR_BITS)
+    if len(own) < max(least, 1):
+        return 0
+    back, _ = _nearest(db[near[own]], da)
+    own = own[back == own]
+    if len(own) < max(least, 1):
         return 0
     a, b = ka[own].astype(float), kb[near[own]].astype(float)
     scale = a[:, 2] / b[:, 2]  # b's pixels for one of a's
@@ -199,20 +222,22 @@ def consensus(ka: np.ndarray, da: np.ndarray, kb: np.ndarray, db: np.ndarray) ->
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    none = np.empty(0, np.int64)
     for batch in batches:
-        for at in range(0, batch.num_rows, 512):
-            part = batch.slice(at, 512)
+        for at in range(0, batch.num_rows, 64):
+            part = batch.slice(at, 64)
             rows = []
             for raw in part.column(1).to_pylist():
                 image = decode(raw)
                 if image is None:
-                    rows.append((None, 0, None, None, None))
+                    rows.append((None, 0, None, None, none))
                     continue
                 corners, words = describe(image)
                 digest = hashlib.sha256(repr(image.shape).encode() + image.astype(np.float32).tobytes()).hexdigest()
-                rows.append((digest, len(corners), corners.astype("<f4").tobytes(), words.astype("<u8").tobytes(), np.unique(words + np.arange(1, words.shape[1] + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64).tolist()))
-            digest, n, corners, words, keys = zip(*rows, strict=True)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(digest, pa.string()), pa.array(n, pa.int32()), pa.array(corners, pa.binary()), pa.array(words, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "digest", "n", "corners", "words", "keys"])
+                rows.append((digest, len(corners), corners.astype("<f4").tobytes(), words.astype("<u8").tobytes(), keys(words)))
+            digest, n, corners, words, posted = zip(*rows, strict=True)
+            lists = pa.ListArray.from_arrays(np.cumsum([0, *map(len, posted)]).astype(np.int32), np.concatenate(posted))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(digest, pa.string()), pa.array(n, pa.int32()), pa.array(corners, pa.binary()), pa.array(words, pa.binary()), lists], names=["id", "digest", "n", "corners", "words", "keys"])
 
 
 def _consensus(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,7 +251,8 @@ def _consensus(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep = []
         for i in range(batch.num_rows):
             ka, da, kb, db = (f(batch.column(c)[i]) for c, f in ((2, corners), (3, words), (4, corners), (5, words)))
-            keep.append(consensus(ka, da, kb, db) >= max(INLIERS, INLIER_SHARE * min(len(ka), len(kb))))
+            least = max(INLIERS, INLIER_SHARE * min(len(ka), len(kb)))
+            keep.append(consensus(ka, da, kb, db, least) >= least)
         yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
 

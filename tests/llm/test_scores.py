@@ -146,6 +146,41 @@ def test_media(spark):
     assert media.image_groups(spark.createDataFrame([], "media_id long, content binary")).isEmpty()
 
 
+def edited():
+    """Drawn images with resized, blurred and strongly cropped copies."""
+    r = np.random.default_rng(11)
+    soft = lambda x: media._blur(np.pad(x, 1, "edge"))[1:-1, 1:-1]
+    out = []
+    for i in range(8):
+        x = media.draw(r.normal(0, 0.125, 100))
+        y = x
+        for _ in range(6):
+            y = soft(y)
+        for k, z in enumerate([x, media._resize(x, 0.85), media._resize(x, 0.9), media._resize(x, 1.2), y, x[8:58, 8:58]]):
+            out.append((10 * k + i, z))
+    whole = media.draw(r.normal(0, 0.125, 1600))
+    return [*out, (100, whole), (101, whole[90:170, 100:180])]
+
+
+def test_media_candidates(spark):
+    """The tables lead to the groups of consensus over all pairs, and miss few of its pairs."""
+    from itertools import combinations
+
+    made = [(i, media.decode(media.encode_pgm(x))) for i, x in edited()]
+    described = {i: media.describe(x) for i, x in made}
+    least = lambda a, b: max(media.INLIERS, media.INLIER_SHARE * min(len(described[a][0]), len(described[b][0])))
+    pairs = [(a, b) for a, b in combinations(sorted(described), 2) if media.consensus(*described[a], *described[b]) >= least(a, b)]
+    assert (100, 101) in pairs and len(pairs) > 40
+    group = {i: i for i in described}
+    for _ in described:
+        for a, b in pairs:
+            group[a] = group[b] = min(group[a], group[b])
+    out = media.image_groups(spark.createDataFrame([(i, media.encode_pgm(x)) for i, x in made], "media_id long, content binary")).collect()
+    assert {r["id"]: r["component_id"] for r in out} == group
+    assert len(described[100][0]) > media.CORNERS
+    assert np.mean([len(np.intersect1d(media.keys(described[a][1]), media.keys(described[b][1]))) >= media.VOTES for a, b in pairs]) > 0.97
+
+
 def test_png():
     import struct
     import zlib
