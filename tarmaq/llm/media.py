@@ -230,7 +230,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for raw in part.column(1).to_pylist():
                 image = decode(raw)
                 if image is None:
-                    rows.append((None, 0, None, None, none))
+                    rows.append((f"raw {hashlib.sha256(raw).hexdigest()}" if raw else None, 0, b"", b"", none))
                     continue
                 corners, words = describe(image)
                 digest = hashlib.sha256(repr(image.shape).encode() + image.astype(np.float32).tobytes()).hexdigest()
@@ -259,8 +259,8 @@ def _consensus(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def image_groups(media: DataFrame, id_column: str = "media_id", bytes_column: str = "content") -> DataFrame:
     """id, n_corners, component_id, kept: groups of copies among the images of a binary column.
 
-    component_id is the least id reachable over confirmed pairs and equal images. Nulls, undecodable images and images without
-    corners are linked with equal images only (the former two with nothing). Rows without id have a
+    component_id is the least id reachable over confirmed pairs and equal images. Images without corners are linked
+    with equal images only, undecodable ones with equal bytes only, nulls and empty values with nothing. Rows without id have a
     null component and are kept; repeated rows get the same. An empty table gives no rows.
     """
     source = media.select(F.col(id_column).cast("long").alias("id"), F.col(bytes_column).cast("binary").alias("content"))

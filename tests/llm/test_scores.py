@@ -181,6 +181,14 @@ def test_media_candidates(spark):
     assert np.mean([len(np.intersect1d(media.keys(described[a][1]), media.keys(described[b][1]))) >= media.VOTES for a, b in pairs]) > 0.97
 
 
+def test_equal_bytes_of_unread_formats(spark):
+    jpeg = b"\xff\xd8\xff\xe0" + bytes(range(200))
+    rows = [(1, jpeg), (2, b"GIF89a" + bytes(90)), (3, jpeg), (4, jpeg[:-1]), (5, None), (6, None), (7, b""), (8, b""), (None, jpeg)]
+    out = media.image_groups(spark.createDataFrame(rows, "media_id long, content binary")).collect()
+    assert {r["id"]: r["component_id"] for r in out} == {1: 1, 2: 2, 3: 1, 4: 4, 5: 5, 6: 6, 7: 7, 8: 8, None: None}
+    assert [r["id"] for r in out if not r["kept"]] == [3]
+
+
 def test_png():
     import struct
     import zlib
