@@ -1,7 +1,7 @@
 """Operator 6: quality rules by distribution divergence.
 
 Each document's histograms of character classes and of common words are compared with those of its
-language by the Jensen-Shannon distance (base 2, 0 to 1). The references are counted over all documents: one
+language by the Jensen-Shannon distance (base 2, 0 to 1). The references are counted over all documents of the language: one
 pass counts words and character classes per language, a second one judges. Only shares are compared, so one
 very common source weighs as many words as it has and no more.
 """
@@ -25,16 +25,16 @@ REPEAT_WINDOW = 3
 SYMBOLS = b"#*$%&|<>"
 #: A word is common in a language if it has at least this share of its words, so at most 1 / COMMON are.
 COMMON = 0.002
-#: A language has a reference of its own from this share of all words on; others are held against all documents.
+#: References of languages from this share of all words on are collected, at most 1 / LANGUAGE_SHARE; those of other
+#: languages are joined to their documents, from so many words on. Below both there is no reference and no distance.
 LANGUAGE_SHARE = 0.001
+REFERENCE_WORDS = 5_000
 #: Distances above these fail. The guards: histograms of fewer characters or words are not compared.
 MAX_CHARS, GUARD_CHARS = 0.30, 200
 MAX_WORDS, GUARD_WORDS = 0.335, 100
 #: Text bytes whose counts a task sums before it sends them.
 COUNT_BYTES = 64 << 20
 
-#: The pooled reference, for languages without one.
-POOLED = "\0all"
 _CLASSES = 9
 _CLASS = np.full(256, 8, np.int64)  # letters outside ASCII
 _CLASS[:128] = 6  # other ASCII characters
@@ -103,33 +103,37 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from flush()
 
 
-def references(docs: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For each language: character class shares, sorted hashes of common words, their shares.
+Reference = tuple[np.ndarray, np.ndarray, np.ndarray]
 
-    At most 1 / LANGUAGE_SHARE languages of at most 1 / COMMON words, whatever the input: these are collected.
+
+def _reference(shape: list[tuple[int, int]], words: list[tuple[int, int]], total: int) -> Reference:
+    """Character class shares, sorted hashes of common words, their shares, of counts by class and by hash."""
+    shapes = np.zeros(_CLASSES)
+    for key, n in shape:
+        shapes[key] = n
+    found = sorted((np.int64(key).astype(_U), n) for key, n in words)
+    return shapes / max(shapes.sum(), 1), np.array([k for k, _ in found], _U), np.array([n for _, n in found], float) / max(total, 1)
+
+
+def references(docs: DataFrame) -> tuple[dict[str, Reference], DataFrame]:
+    """The references of languages of at least LANGUAGE_SHARE, and a table (lang, total, shape, words) of the counts of others.
+
+    The former are at most 1 / LANGUAGE_SHARE languages, each of at most 1 / COMMON words, whatever the input: these are collected.
     """
     source = docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     counted = source.mapInArrow(_count, "lang string, kind byte, key long, n long").groupBy("lang", "kind", "key").agg(F.sum("n").alias("n"))
     counted = written(counted)
     per_lang = counted.where("kind = 0").groupBy("lang").agg(F.sum("n").alias("total"))
     everything = per_lang.agg(F.sum("total")).first()[0] or 0
-    own = per_lang.where(F.col("total") >= LANGUAGE_SHARE * everything)
-    big = {r["lang"]: r["total"] for r in own.collect()}
-    shapes = counted.where("kind = 1")
-    words = counted.where("kind = 0")
-    rows = words.join(F.broadcast(own), "lang").where(F.col("n") >= COMMON * F.col("total")).select("lang", "key", "n").collect()
-    rows += [(POOLED, r["key"], r["n"]) for r in words.groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON * F.lit(everything)).collect()]
-    classes = [(r["lang"], r["key"], r["n"]) for r in shapes.join(F.broadcast(own.select("lang")), "lang").collect()]
-    classes += [(POOLED, r["key"], r["n"]) for r in shapes.groupBy("key").agg(F.sum("n").alias("n")).collect()]
-    out = {}
-    for lang in [*big, POOLED]:
-        shape = np.zeros(_CLASSES)
-        for _, key, n in (x for x in classes if x[0] == lang):
-            shape[key] = n
-        found = sorted((np.int64(key).astype(_U), n) for name, key, n in rows if name == lang)
-        total = big.get(lang, everything)
-        out[lang] = (shape / max(shape.sum(), 1), np.array([k for k, _ in found], _U), np.array([n for _, n in found], float) / max(total, 1))
-    return out
+    large = F.col("total") >= LANGUAGE_SHARE * everything
+
+    def counts(own: DataFrame) -> DataFrame:
+        rows = counted.join(own, "lang").where((F.col("kind") == 1) | (F.col("n") >= COMMON * F.col("total")))
+        pair = F.struct("key", "n")
+        return rows.groupBy("lang", "total").agg(F.collect_list(F.when(F.col("kind") == 1, pair)).alias("shape"), F.collect_list(F.when(F.col("kind") == 0, pair)).alias("words"))
+
+    big = {r["lang"]: _reference(r["shape"], r["words"], r["total"]) for r in counts(F.broadcast(per_lang.where(large))).collect()}
+    return big, written(counts(per_lang.where(~large & (F.col("total") >= REFERENCE_WORDS))))
 
 
 def js_distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -171,22 +175,33 @@ def base_counts(t: textkit.Texts) -> dict[str, np.ndarray]:
     return {"n_words": n, "word_chars": chars, "n_symbols": symbols, "n_dup_lines": dup, "n_repeat_words": repeat}
 
 
-def _judge(refs: dict):
+def _joined(batch: pa.RecordBatch) -> dict[str, Reference]:
+    """The references that stand beside the documents of a batch, one for each of its languages."""
+    first: dict[str, int] = {}
+    for i, name in enumerate(batch.column(1).to_pylist()):
+        first.setdefault(name, i)
+    pairs = lambda x: [(r["key"], r["n"]) for r in x.as_py()]
+    return {name: _reference(pairs(batch.column(4)[i]), pairs(batch.column(5)[i]), batch.column(3)[i].as_py()) for name, i in first.items()}
+
+
+def _judge(collected: dict[str, Reference] | None):
+    """Judge doc_id, lang, text by the collected references, or by those in the columns total, shape and words."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            refs = _joined(batch) if collected is None else collected
             for t in textkit.chunks(batch.column(2)):
                 base = base_counts(t)
                 n = base["n_words"]
                 failed = (n < MIN_WORDS) | (100 * base["n_repeat_words"] > MAX_REPEAT_PERCENT * n)
-                langs = batch.column(1).slice(t.rows.start, len(t)).fill_null("").to_pylist()
-                names = np.array([x if x in refs else POOLED for x in langs], object)
+                names = np.array(batch.column(1).slice(t.rows.start, len(t)).to_pylist(), object)
                 w = textkit.words(t)
                 hashes = textkit.word_hashes(t, w, fold=True)
                 doc = textkit.doc_of(w.first)
                 shapes = class_histograms(t)
                 size = shapes.sum(1)
                 far_chars, far_words = np.zeros(len(t)), np.zeros(len(t))
-                for name in set(names):
+                for name in set(names) & refs.keys():
                     shape, keys, shares = refs[name]
                     own = np.flatnonzero((names == name) & (size > 0) & (n > 0))
                     if not len(own):
@@ -216,11 +231,18 @@ def judge(docs: DataFrame) -> DataFrame:
     """One row per row of docs(doc_id, lang, text): base counts, base_failed, kept, js_chars, js_words.
 
     Null and empty texts have no words, fail the base rules and are not kept; their distances are 0. A null
-    language counts as the empty one; a language without a reference is held against all documents.
-    Repeated rows are judged each, and weigh in the references each. An empty table gives no rows.
+    language counts as the empty one. Documents of a language without a reference are judged by the base rules only, their
+    distances are 0: another language's words say nothing about them. Repeated rows are judged each, and weigh in the
+    references each. An empty table gives no rows.
     """
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    return source.mapInArrow(_judge(references(docs)), "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, js_chars double, js_words double")
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), F.col("text").cast("string").alias("text"))
+    out = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, js_chars double, js_words double"
+    big, small = references(docs)
+    if small.isEmpty():
+        return source.mapInArrow(_judge(big), out)
+    rest = source.join(small.select("lang"), "lang", "left_anti").select("doc_id", "lang", "text")
+    beside = source.join(small, "lang").select("doc_id", "lang", "text", "total", "shape", "words")
+    return rest.mapInArrow(_judge(big), out).unionByName(beside.mapInArrow(_judge(None), out))
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -232,6 +254,7 @@ _W = "[^\\x20\\x09-\\x0D]"
 _CLASS_SQL = ("[a-z]", "[A-Z]", "[0-9]", "[ ]", "\\n", "[.,;:!?''\"()-]", None, "[#*$%&|<>]", "[^\\x00-\\x7F]")
 _COUNTS = ", ".join("length(text)" + "".join(f" - len(regexp_extract_all(text, '{c}'))" for c in _CLASS_SQL if c) if x is None else f"len(regexp_extract_all(text, '{x}'))" for x in _CLASS_SQL)
 _HALF = "CASE WHEN {x} > 0 THEN {x} * log2({x} / (({x} + {y}) / 2)) ELSE 0 END"
+# The oracle holds languages under LANGUAGE_SHARE against all documents, which judge() does not; the tables here have none.
 _SQL = f"""
 WITH d AS (
   SELECT row_number() OVER () AS r, doc_id, coalesce(lang, '') AS lang, coalesce(text, '') AS text FROM documents

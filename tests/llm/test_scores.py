@@ -77,6 +77,28 @@ def test_quality(spark):
     assert quality.judge(docs.limit(0)).isEmpty()
 
 
+def test_quality_of_small_languages(spark, monkeypatch):
+    """A document's verdict does not depend on how much of another language is in the table."""
+    monkeypatch.setattr(quality, "LANGUAGE_SHARE", 0.2)
+    r = random.Random(6)
+
+    def prose(letters, n):
+        vocabulary = ["".join(r.choices(letters, k=k)) for k in (2, 3, 4) for _ in range(5)] * 4 + ["".join(r.choices(letters, k=6)) for _ in range(60)]
+        return [" ".join(r.choices(vocabulary, k=300)) for _ in range(n)]
+
+    junk = " ".join(str(r.random()) for _ in range(300))
+    texts = {"en": prose("abcdefgh", 200), "xx": [*prose("ijklmnop", 25), junk], "ru": [*prose("абвгдежз", 25), junk], None: prose("qrstuvwz", 25), "few": prose("stuvw", 2)}
+    rows = [(i, x, lang) for i, (lang, x) in enumerate((lang, x) for lang, own in texts.items() for x in own)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    out = quality.judge(docs).collect()
+    assert sorted(r["doc_id"] for r in out) == [i for i, *_ in rows]
+    by = {r["doc_id"]: r for r in out}
+    assert [i for i, x, _ in rows if by[i]["kept"] == (x == junk)] == []
+    assert {by[i]["js_words"] for i, _, lang in rows if lang == "few"} == {0.0}
+    alone = {r["doc_id"]: r for r in quality.judge(docs.where("lang = 'xx'")).collect()}
+    assert all(abs(alone[i]["js_words"] - by[i]["js_words"]) < 1e-12 and alone[i]["kept"] == by[i]["kept"] for i in alone)
+
+
 def test_js_distance():
     p = np.array([[1.0, 0.0], [0.5, 0.5], [0.0, 1.0]])
     assert np.allclose(quality.js_distance(p, np.array([1.0, 0.0])), [0.0, 0.5579230452841438, 1.0])
