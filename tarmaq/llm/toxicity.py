@@ -22,10 +22,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tarmaq.llm import textkit
+from tarmaq.llm.store import partitions, written
 
-#: The bound of the training sample: documents of each class, and characters of each of them.
+#: The bound of the training sample: documents of each class. Their texts are read whole, by the executors.
 SAMPLE_DOCS = 2500
-SAMPLE_CHARS = 12_000
 #: Lengths, in bytes, of the strings that are tested for being typical of a class.
 GRAMS = (5, 7)
 #: A string is toxic if at least MIN_DOCS and MIN_SHARE of the toxic documents have it, RATIO times the ordinary share.
@@ -75,24 +75,15 @@ def _among(values: np.ndarray, kept: np.ndarray) -> np.ndarray:
     return kept[at] == values
 
 
-def _strings(texts: list[bytes], kept: dict[int, np.ndarray], most: int) -> bytes:
-    """The longest stretches of kept strings in the texts, the commonest last, where they are cheapest to copy."""
-    found: Counter[bytes] = Counter()
-    for raw in texts:
-        edge = np.zeros(len(raw) + 1, np.int64)
-        for length, strings in kept.items():
-            at = np.flatnonzero(_among(_grams(raw, length), strings))
-            np.add.at(edge, at, 1)
-            np.add.at(edge, at + length, -1)
-        step = np.diff(np.concatenate(([False], np.cumsum(edge[:-1]) > 0, [False])).astype(np.int8))
-        found.update(raw[a:b] for a, b in zip(np.flatnonzero(step == 1).tolist(), np.flatnonzero(step == -1).tolist(), strict=True))
-    out, size = [], 0
-    for part, _ in sorted(found.items(), key=lambda x: (-x[1], x[0])):
-        if size + len(part) > most:
-            break
-        out.append(part)
-        size += len(part)
-    return b"".join(reversed(out))
+def _stretches(raw: bytes, kept: dict[int, np.ndarray]) -> list[bytes]:
+    """The longest stretches of kept strings in a text."""
+    edge = np.zeros(len(raw) + 1, np.int64)
+    for length, strings in kept.items():
+        at = np.flatnonzero(_among(_grams(raw, length), strings))
+        np.add.at(edge, at, 1)
+        np.add.at(edge, at + length, -1)
+    step = np.diff(np.concatenate(([False], np.cumsum(edge[:-1]) > 0, [False])).astype(np.int8))
+    return [raw[a:b] for a, b in zip(np.flatnonzero(step == 1).tolist(), np.flatnonzero(step == -1).tolist(), strict=True)]
 
 
 @dataclass
@@ -107,20 +98,80 @@ class Model:
     constant: float = 0.0
 
 
-def _dictionaries(texts: list[bytes], toxic: np.ndarray) -> tuple[bytes, bytes]:
-    """Contents of the toxic and the ordinary dictionary. Both hold the ordinary strings, so that these cancel."""
-    typical, common = {}, {}
-    n = {True: int(toxic.sum()), False: int((~toxic).sum())}
-    for length in GRAMS:
-        grams = [np.unique(_grams(x, length)) for x in texts]
-        (gt, ct), (go, co) = (np.unique(np.concatenate([g for g, y in zip(grams, toxic, strict=True) if y == k]), return_counts=True) for k in (True, False))
-        at = np.minimum(np.searchsorted(go, gt), max(len(go) - 1, 0))
-        other = np.where(go[at] == gt, co[at], 0) if len(go) else np.zeros(len(gt))
-        typical[length] = gt[(gt > 0) & (ct >= max(MIN_DOCS, MIN_SHARE * n[True])) & (ct / n[True] >= RATIO * (other + 1) / n[False])]
-        common[length] = go[(go > 0) & (co >= COMMON_SHARE * n[False])]
-    ordinary = _strings([x for x, y in zip(texts, toxic, strict=True) if not y], common, ORDINARY_BYTES)
-    own = _strings([x for x, y in zip(texts, toxic, strict=True) if y], typical, TOXIC_BYTES)
-    return own + ordinary, ordinary
+#: Halves of the sample that a set of dictionaries is made from: either, and both.
+_SETS = ((0,), (1,), (0, 1))
+
+
+def _count_grams(sides: dict[int, tuple[int, bool]]):
+    """length, gram, t0, t1, o0, o1: toxic and ordinary documents of each half that have a string, summed over some documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                texts = [(sides[i], _normal(x)) for i, x in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)]
+                for length in GRAMS:
+                    found = [np.unique(_grams(raw, length)) for _, raw in texts]
+                    keys, which = np.unique(np.concatenate(found), return_inverse=True)
+                    column = np.repeat([side if toxic else 2 + side for (side, toxic), _ in texts], [len(x) for x in found])
+                    counts = np.bincount(which * 4 + column, minlength=4 * len(keys)).reshape(-1, 4)[keys > 0]
+                    keys = keys[keys > 0].view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), length, np.int32)), pa.array(keys), *(pa.array(counts[:, k]) for k in range(4))], names=["length", "gram", "t0", "t1", "o0", "o1"])
+
+    return run
+
+
+def _count_stretches(sides: dict[int, tuple[int, bool]], kept: dict[tuple[int, bool], dict[int, np.ndarray]]):
+    """which, toxic, part, n: stretches of the strings kept for the sets that a document is in."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: Counter[tuple[int, bool, bytes]] = Counter()
+            for i, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                side, toxic = sides[i]
+                raw = _normal(x)
+                for k, halves in enumerate(_SETS):
+                    if side in halves:
+                        found.update((k, toxic, part) for part in _stretches(raw, kept[k, toxic]))
+            rows = [(k, toxic, part, n) for (k, toxic, part), n in found.items()]
+            yield pa.RecordBatch.from_pylist([dict(zip(("which", "toxic", "part", "n"), r, strict=True)) for r in rows], pa.schema([("which", pa.int32()), ("toxic", pa.bool_()), ("part", pa.binary()), ("n", pa.int64())]))
+
+    return run
+
+
+def _dictionaries(sample: DataFrame, sides: dict[int, tuple[int, bool]]) -> list[tuple[bytes, bytes]]:
+    """Contents of the toxic and the ordinary dictionary of each of _SETS. Both hold the ordinary strings, so that these cancel."""
+    n = {(k, c): sum(1 for side, toxic in sides.values() if side in halves and toxic == c) for k, halves in enumerate(_SETS) for c in (True, False)}
+    counts = sample.mapInArrow(_count_grams(sides), "length int, gram long, t0 long, t1 long, o0 long, o1 long")
+    counts = counts.groupBy("length", "gram").agg(*(F.sum(c).alias(c) for c in ("t0", "t1", "o0", "o1")))
+    chosen = []
+    for k, halves in enumerate(_SETS):
+        t, o = (sum((F.col(f"{c}{side}") for side in halves), F.lit(0)) for c in "to")
+        typical = (t >= max(MIN_DOCS, MIN_SHARE * n[k, True])) & (t / n[k, True] >= RATIO * (o + 1) / n[k, False])
+        chosen += [typical.alias(f"t{k}"), (o >= COMMON_SHARE * n[k, False]).alias(f"o{k}")]
+    # A string is in some share of the documents, so few are left, however many the texts have.
+    few = counts.select("length", "gram", *chosen).where(" OR ".join(f"t{k} OR o{k}" for k in range(len(_SETS)))).toPandas()
+    few = few.assign(gram=few["gram"].to_numpy(np.int64).view(_U)).sort_values(["length", "gram"])
+    kept = {(k, c): {length: few.loc[(few["length"] == length) & few[f"{'t' if c else 'o'}{k}"].astype(bool), "gram"].to_numpy(_U) for length in GRAMS} for k, c in n}
+    found = sample.mapInArrow(_count_stretches(sides, kept), "which int, toxic boolean, part binary, n long")
+    found = written(found.groupBy("which", "toxic", "part").agg(F.sum("n").alias("n")))
+
+    def content(k: int, toxic: bool, most: int) -> bytes:
+        """The commonest stretches, the very commonest last, where they are cheapest to copy."""
+        own = found.where((F.col("which") == k) & (F.col("toxic") == toxic))
+        out, size = [], 0
+        for r in own.orderBy(F.desc("n"), "part").limit(most // min(GRAMS) + 1).collect():
+            if size + len(r["part"]) > most:
+                break
+            out.append(bytes(r["part"]))
+            size += len(r["part"])
+        return b"".join(reversed(out))
+
+    out = []
+    for k in range(len(_SETS)):
+        ordinary = content(k, False, ORDINARY_BYTES)
+        out.append((content(k, True, TOXIC_BYTES) + ordinary, ordinary))
+    return out
 
 
 class Distances:
@@ -181,30 +232,43 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1
     return beta
 
 
-def fit(texts: list[str], toxic: list[bool], share: float | None = None) -> Model:
-    """Fit on labelled texts. share: of toxic documents among all labelled ones, if the sample is not in proportion.
+def _describe(sides: dict[int, tuple[int, bool]], contents: list[tuple[bytes, bytes]]):
+    """id, row: features of each document by the dictionaries of the other half."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        distances = [Distances(*x) for x in contents[:2]]
+        for batch in batches:
+            side = np.array([sides[i][0] for i in batch.column(0).to_pylist()], np.int64)
+            for k in (0, 1):
+                own = batch.filter(pa.array(side == k))
+                for t in textkit.chunks(own.column(1)):
+                    yield pa.RecordBatch.from_arrays([own.column(0).slice(t.rows.start, len(t)), pa.array(features(t, distances[1 - k]).tolist(), pa.list_(pa.float64()))], names=["id", "row"])
+
+    return run
+
+
+def fit(sample: DataFrame, share: float | None = None) -> Model:
+    """Fit on sample(id, text, toxic), ids distinct. share: of toxic documents among all labelled ones, if the sample is not in proportion.
 
     Each half's documents are described by dictionaries made from the other half; the calibration is fitted on
-    these, and the final dictionaries are made from all. Without both classes the score is constant.
+    these, and the final dictionaries are made from all. Without both classes the score is constant. Executors read the texts;
+    the driver gets ids, common strings and features.
     """
-    y = np.array(toxic, bool)
+    marks = sorted((r["id"], r["toxic"] > 0) for r in sample.select("id", "toxic").collect())
+    y = np.array([toxic for _, toxic in marks], bool)
     if len(y) < 4 or y.all() or not y.any() or min(y.sum(), (~y).sum()) < 2:
         return Model(constant=float(share if share is not None else (y.mean() if len(y) else 0.0)))
-    raw = [_normal(x) for x in texts]
-    half = np.zeros(len(y), bool)
-    for k in (True, False):
-        own = np.flatnonzero(y == k)
-        half[own[::2]] = True
-    rows = np.zeros((len(y), FEATURES))
-    for side in (True, False):
-        fitted, other = np.flatnonzero(half == side), np.flatnonzero(half != side)
-        d = Distances(*_dictionaries([raw[i] for i in fitted], y[fitted]))
-        column = pa.array([texts[i] for i in other])
-        rows[other] = np.concatenate([features(t, d) for t in textkit.chunks(column)])
+    sides = {}
+    for c in (True, False):
+        sides |= {i: (at % 2, c) for at, i in enumerate(i for i, toxic in marks if toxic == c)}
+    texts = sample.select("id", "text")
+    contents = _dictionaries(texts, sides)
+    found = dict(texts.mapInArrow(_describe(sides, contents), "id long, row array<double>").collect())
+    rows = np.array([found[i] for i, _ in marks])
     share = float(y.mean()) if share is None else share
     weight = np.where(y, share / y.mean(), (1 - share) / (1 - y.mean()))
     mean, scale = rows.mean(0), rows.std(0) + 1e-6
-    return Model(*_dictionaries(raw, y), mean, scale, _logistic((rows - mean) / scale, y.astype(float), weight))
+    return Model(*contents[2], mean, scale, _logistic((rows - mean) / scale, y.astype(float), weight))
 
 
 def train(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> Model:
@@ -217,11 +281,11 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> Model:
     counts = {r["toxic"]: r["n"] for r in usable.groupBy((F.col("toxic") > 0).alias("toxic")).agg(F.count("*").alias("n")).collect()}
     order = usable.orderBy(F.xxhash64("id"), "id")
     few = order.where("toxic > 0").limit(SAMPLE_DOCS).unionByName(order.where("toxic <= 0").limit(SAMPLE_DOCS))
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.substring(F.coalesce(F.col("text").cast("string"), F.lit("")), 1, SAMPLE_CHARS).alias("text"))
-    # At most 2 * SAMPLE_DOCS ids are broadcast, and as many cut texts collected, whatever the input.
-    rows = texts.join(F.broadcast(few), "id").dropDuplicates(["id"]).orderBy("id").collect()
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    # At most 2 * SAMPLE_DOCS ids are broadcast and collected, whatever the input.
+    sample = written(texts.join(F.broadcast(few), "id").dropDuplicates(["id"]).repartition(partitions(spark), "id"))
     total = sum(counts.values())
-    return fit([r["text"] for r in rows], [r["toxic"] > 0 for r in rows], counts.get(True, 0) / total if total else None)
+    return fit(sample, counts.get(True, 0) / total if total else None)
 
 
 def score_chunk(t: textkit.Texts, model: Model, distances: Distances) -> np.ndarray:

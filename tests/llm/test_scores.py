@@ -51,6 +51,19 @@ def test_held_out_labels_are_not_learned(spark):
     assert a.toxic == b.toxic and np.array_equal(a.weights, b.weights)
 
 
+def test_whole_texts_are_learned(spark):
+    """Toxic words that stand after some 20,000 characters count."""
+    rows, labels = labelled(160)
+    lead = " ".join(f"{a}{b}{c}" for a in "bcdfg" for b in "aeiou" for c in "klmnprst") + " "
+    rows = [(i, lead * 28 + x, *rest) for i, x, *rest in rows]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    model = toxicity.train(spark, docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert all(x in model.toxic for x in (b"vilegrunk", b"scumwort", b"idiotrag"))
+    by = {r["c0"]: r["score"] for r in toxicity.score(docs, model).collect()}
+    apart = [i for i, _ in labels if toxicity.crc_held_out(i)]
+    assert np.mean([(by[i] >= 0.5) == bool(labels[i][1]) for i in apart]) > 0.95
+
+
 def base(x):
     w = WORD.findall(x or "")
     lines = [y for y in (x or "").split("\n") if y.strip(" \t\n\x0b\x0c\r")]
