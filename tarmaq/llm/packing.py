@@ -2,8 +2,9 @@
 
 Every task tokenises its documents, cuts the long ones and packs its own pieces best-fit,
 largest first. Bins that are nearly full are final. The others go up a tree as items: each node
-packs the underfull bins of several nodes below it, best-fit again, until one node is left or
-no bins meet any more. A node never holds more than ``node_items`` bins: more bins make more nodes.
+packs the underfull bins of several nodes below it, best-fit again, until one node is left. A node holds about
+``node_items`` bins: more bins make more nodes. Rounds at the same number of nodes deal the bins anew, and sizes that
+can share a sequence are in the same proportion at every node, so mates meet; the tree ends where such a round merges next to nothing.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ EOS = 2
 SLACK = 2
 FAN_IN = 8
 NODE_ITEMS = 200_000
+#: Rounds at one number of nodes, at most, and the least share of the bins that one must merge for another.
+SAME_ROUNDS, LEAST_MERGED = 6, 0.01
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, bin long, off long, fill long"
 
@@ -135,10 +138,13 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, eos
     nodes = partitions(spark)
     moved: DataFrame | None = None
     left = level.count()
+    same = turn = 0
     while left > 1:
-        # Bins that can't share a sequence would only travel on: the tree ends where nothing merged.
-        nodes = max(-(-nodes // fan_in), -(-left // node_items))
-        dealt = level.withColumn("node", F.pmod(F.xxhash64("bin", F.lit(nodes)), F.lit(nodes)).cast("int"))
+        before_nodes, nodes = nodes, max(-(-nodes // fan_in), -(-left // node_items))
+        same = same + 1 if nodes >= before_nodes else 0
+        turn += 1
+        # Another seed each round: bins that did not meet at the same number of nodes would never do so.
+        dealt = level.withColumn("node", F.pmod(F.xxhash64("bin", F.lit(nodes), F.lit(turn)), F.lit(nodes)).cast("int"))
         step = written(dealt.groupBy("node").applyInPandas(_merge(capacity), "bin long, into long, shift long, fill long"))
         if moved is None:
             moved = step.select("bin", "into", "shift")
@@ -147,7 +153,8 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, eos
             moved = written(moved.join(now, "into", "left").select("bin", F.coalesce("next", "into").alias("into"), (F.col("shift") + F.coalesce("more", F.lit(0))).alias("shift")))
         level = step.where((F.col("shift") == 0) & (F.col("fill") < capacity - slack)).select(F.col("into").alias("bin"), "fill")
         before, left = left, level.count()
-        if nodes == 1 or (nodes * fan_in * node_items <= left and left > 0.99 * before):
+        # Bins that can't share a sequence would only travel on, for ever at an unchanged number of nodes.
+        if nodes == 1 or same >= SAME_ROUNDS or (nodes <= -(-before // node_items) and left > (1 - LEAST_MERGED) * before):
             break
     out = pieces if moved is None else pieces.join(moved, "bin", "left")
     into, shift = (F.col("bin"), F.lit(0)) if moved is None else (F.coalesce("into", "bin"), F.coalesce("shift", F.lit(0)))

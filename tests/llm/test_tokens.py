@@ -79,6 +79,28 @@ def test_packing(spark, reference, duck):
     assert packing.pack(docs.limit(0)).isEmpty()
 
 
+def test_packing_ends_where_nothing_merges(spark, monkeypatch):
+    """More bins of 600 tokens than a node holds: none fits another, so the tree must end; later ones fit some."""
+    calls = []
+    real = packing.written
+
+    def counted(df):
+        calls.append(1)
+        assert len(calls) < 40, "rounds without end"
+        return real(df)
+
+    monkeypatch.setattr(packing, "written", counted)
+    rows = [(i, " a" * 599) for i in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    out = packing.pack(docs, node_items=20).collect()
+    assert sorted((r["doc_id"], r["length"], r["offset"]) for r in out) == [(i, 600, 0) for i in range(90)]
+    assert len({r["sequence_id"] for r in out}) == 90
+    calls.clear()
+    mates = spark.createDataFrame([*rows, *((100 + i, " a" * 299) for i in range(90))], "doc_id long, text string").repartition(30)
+    out = packing.pack(mates, node_items=20).collect()
+    assert len(out) == 180 and len({r["sequence_id"] for r in out}) <= 100
+
+
 def test_counts(spark, reference):
     rows = [(x,) for x in [*ODD, *ODD[:4], None]]
     docs = spark.createDataFrame(rows, "text string")
