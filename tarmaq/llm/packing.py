@@ -70,7 +70,7 @@ def cut(n: int, capacity: int) -> tuple[np.ndarray, np.ndarray]:
     return bounds[:-1], np.diff(bounds)
 
 
-def _pack_partition(path: str, capacity: int, eos: int):
+def _pack_partition(path: str, capacity: int, eos: int, specials: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -79,7 +79,7 @@ def _pack_partition(path: str, capacity: int, eos: int):
         for batch in batches:
             ids = batch.column(0)
             for t in textkit.chunks(batch.column(1), tokens.TOKEN_CHUNK):
-                e = tokens.encode(t, path)
+                e = tokens.encode(t, path, specials)
                 doc = ids.slice(t.rows.start, len(t))
                 counts = e.counts()
                 rows: list[tuple[int, int, int, int, int]] = []
@@ -123,17 +123,17 @@ def _merge(capacity: int):
     return run
 
 
-def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, eos: int = EOS, slack: int = SLACK, fan_in: int = FAN_IN, node_items: int = NODE_ITEMS) -> DataFrame:
+def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, eos: int = EOS, slack: int = SLACK, fan_in: int = FAN_IN, node_items: int = NODE_ITEMS, specials: bool = False) -> DataFrame:
     """Pack the token ids of docs(doc_id, text) into sequences of at most ``capacity`` tokens.
 
     One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset. A null or empty
     text is the ``eos`` id alone. Only documents longer than a sequence are cut; all their pieces are
     full but the first. Repeated rows (and rows without doc_id) are packed each on its own; other
-    columns are not read. An empty table gives no rows.
+    columns are not read. ``specials`` as in ``tokens.encode``. An empty table gives no rows.
     """
     spark = docs.sparkSession
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    pieces = written(source.mapInArrow(_pack_partition(path or tokens.default_path(), capacity, eos), _PIECES))
+    pieces = written(source.mapInArrow(_pack_partition(path or tokens.default_path(), capacity, eos, specials), _PIECES))
     level = pieces.where((F.col("off") == 0) & (F.col("fill") < capacity - slack)).select("bin", "fill", F.lit(0).alias("node"))
     nodes = partitions(spark)
     moved: DataFrame | None = None
@@ -163,12 +163,12 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, eos
 
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pack all documents into sequences of 1024 tokens."""
-    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), specials=True)
 
 
 def pipeline_pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The last pipeline stage: packed pieces of what is left, repetitions included."""
-    return pack(docs)
+    return pack(docs, specials=True)
 
 
 QUERIES = {"op7_best_fit_packing": op7_best_fit_packing}

@@ -16,23 +16,24 @@ from tarmaq.llm import textkit, tokens
 BLOCK = 1024
 
 
-def _count(path: str):
+def _count(path: str, specials: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for t in textkit.chunks(batch.column(0), tokens.TOKEN_CHUNK):
-                length, n = np.unique(tokens.encode(t, path).counts(), return_counts=True)
+                length, n = np.unique(tokens.encode(t, path, specials).counts(), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(length), pa.array(n.astype(np.int64))], names=["length", "n"])
 
     return run
 
 
-def histogram(docs: DataFrame, path: str | None = None) -> DataFrame:
+def histogram(docs: DataFrame, path: str | None = None, specials: bool = False) -> DataFrame:
     """length, n_docs: how many texts have each encoded length. Null and empty texts have length 0.
+    ``specials`` as in ``tokens.encode``.
 
     Tasks send one row per distinct length and chunk, so a length that a third of all texts share
     is no hot key. Repeated rows count each time. An empty table gives no rows.
     """
-    counted = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_count(path or tokens.default_path()), "length long, n long")
+    counted = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_count(path or tokens.default_path(), specials), "length long, n long")
     return counted.groupBy("length").agg(F.sum("n").alias("n_docs"))
 
 
@@ -66,7 +67,7 @@ def context_limits(hist: DataFrame) -> DataFrame:
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals, quantiles and truncated totals of all documents for every context limit."""
-    return context_limits(histogram(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    return context_limits(histogram(spark.read.parquet(f"{sf_dir}/documents.parquet"), specials=True))
 
 
 QUERIES = {"op8_token_counts": op8_token_counts}

@@ -10,12 +10,14 @@ neighbour could matter (texts' first and last pieces, white space outside ASCII)
 from __future__ import annotations
 
 import base64
+import json
 import re
 from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from tarmaq.llm.textkit import _IS_SPACE, Texts, pieces_of
 
@@ -27,11 +29,12 @@ _LEADS = np.zeros(256, bool)
 _LEADS[[0xC2, 0xE1, 0xE2, 0xE3]] = True
 
 
-@lru_cache(maxsize=2)
-def encoder(path: str):
+@lru_cache(maxsize=4)
+def encoder(path: str, specials: bool = False):
     """(text to ids, byte length of each id or None) of a .tiktoken rank file or a tokenizers .json.
 
-    The special tokens' strings in a text are ordinary text.
+    The special tokens' strings in a text are ordinary text, or with ``specials`` the special tokens, as the tokenizers
+    library has it by default.
     """
     if path.endswith(".tiktoken"):
         import public_tokenizers
@@ -42,14 +45,25 @@ def encoder(path: str):
         sizes = np.zeros(max(ranks.values()) + 1, np.int64)
         sizes[list(ranks.values())] = [len(x) for x in ranks]
         own = tiktoken.Encoding(path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        return own.encode_ordinary, sizes
+        added = special_tokens(path) if specials else {}
+        if not added:
+            return own.encode_ordinary, sizes
+        split = re.compile(f"({'|'.join(map(re.escape, sorted(added, key=len, reverse=True)))})")
+        return lambda text: [i for x in split.split(text) for i in ([added[x]] if x in added else own.encode_ordinary(x))], sizes
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
+    t.encode_special_tokens = not specials
     return lambda text: t.encode(text, add_special_tokens=False).ids, None
 
 
+@lru_cache(maxsize=2)
+def special_tokens(path: str) -> dict[str, int]:
+    """Strings and ids of the added tokens of a tokenizers .json, or of the one beside a rank file."""
+    with open(re.sub(r"\.tiktoken$", ".json", path), encoding="utf-8") as file:
+        return {x["content"]: x["id"] for x in json.load(file)["added_tokens"]}
+
+
 def default_path() -> str:
     """The rank file of the 50k byte BPE: the same ids as its .json, several times faster."""
     import public_tokenizers
@@ -85,10 +99,10 @@ def _may_hold_wide(data: np.ndarray) -> bool:
     return bool((~c2).any() or ((nxt == 0x85) | (nxt == 0xA0))[c2].any())
 
 
-def encode(t: Texts, path: str) -> Encoded:
-    """Token ids of each text of a chunk."""
+def encode(t: Texts, path: str, specials: bool = False) -> Encoded:
+    """Token ids of each text of a chunk; with ``specials`` those of special tokens where their strings stand."""
     n = len(t.data)
-    enc, token_bytes = encoder(path)
+    enc, token_bytes = encoder(path, specials)
     if not n:
         zero = np.empty(0, np.int64)
         return Encoded(np.empty(0, np.uint32), zero, zero, np.zeros(len(t.offsets), np.int64))
@@ -113,6 +127,9 @@ def encode(t: Texts, path: str) -> Encoded:
         alone[:] = True
     elif wide:
         alone |= np.fromiter((bool(_WIDE_SPACE.search(x.decode("utf-8"))) for x in values.to_pylist()), bool, len(values))
+    if specials and token_bytes is not None:
+        for x in special_tokens(path):
+            alone |= np.asarray(pc.match_substring(values, x))
     length = np.zeros(len(values), np.int64)
     together = values.filter(pa.array(~alone))
     ids = np.empty(0, np.uint32)

@@ -31,6 +31,26 @@ def test_ids(reference, duck):
             assert flat[bounds[i] : bounds[i + 1]].tolist() == reference(texts[t.rows.start + i])
 
 
+SPECIAL = ["a <|endoftext|> b", "a  <|endoftext|>  b\n\n<|endoftext|>x<|endoftext|><|endoftext|>\n", "<|endoftext|>", "\u3000<|endoftext|>\u3000 y", "<|endoftext| > <|endoftext|"]
+
+
+def test_special_tokens(spark, tmp_path):
+    """Ids, packed pieces and lengths of the registered queries are those of the tokenizer's default settings."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    default = lambda x: own.encode(x, add_special_tokens=False).ids
+    texts = [*SPECIAL, *ODD, " ".join(SPECIAL)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    check_packing(list(enumerate(texts)), packing.op7_best_fit_packing(spark, str(tmp_path)).collect(), default)
+    lengths = [len(default(x)) for x in texts]
+    assert {r["length"]: r["n_docs"] for r in token_counts.op8_token_counts(spark, str(tmp_path)).collect()} == {n: lengths.count(n) for n in lengths}
+    for t in textkit.chunks(pa.array(texts), 60):
+        for path in (tokens.default_path(), public_tokenizers.path("byte_bpe_50k.json")):
+            assert tokens.encode(t, path, specials=True).flat().tolist() == [i for x in texts[t.rows.start : t.rows.start + len(t)] for i in default(x)]
+
+
 def test_words():
     texts = [*ODD, None, "a\x0bb\x0cc\rd", "\u0085x y"]
     for t in textkit.chunks(pa.array(texts), 40):
