@@ -1,10 +1,12 @@
 """Operator 5: copies among images, cropped or edited ones too, by local descriptors.
 
 1. An image is decoded to grey and scanned at several scales for corners (Harris). Each corner gets an orientation
-   (intensity centroid) and a 256-bit descriptor of brightness comparisons, in a pattern turned by it.
-2. Hamming tables: every descriptor is posted in TABLES tables, under KEY_BITS of its bits drawn for each table. Images that
-   share a key are candidates. Two descriptors that differ in 15 % of their bits share a key in two cases of three; a copy has
-   many such descriptors, so nearly every pair that consensus accepts is a candidate (measured in the tests).
+   (intensity centroid) and a 256-bit descriptor of brightness comparisons of the smoothed image, in a pattern turned by it.
+   A comparison asks for a difference that is large beside the patch's own, so flat areas give the same bits in every copy.
+2. Hamming tables: each corner and its nearest neighbours make pairs of descriptors, which are posted in TABLES tables under
+   some bits of either descriptor, drawn for each table, and the pair's turns, in sectors. Images that share a key are
+   candidates. A pair of corners is far rarer than one, so unrelated images hardly ever meet, and a copy keeps many of its
+   pairs. Fewer bits find copies edited more and cost more candidates (the tests measure it for KEY_BITS and for fewer).
 3. Geometric consensus: candidates' descriptors are matched by Hamming distance; every match proposes
    a scale, a turn and a shift, and the pair is a copy if enough matches agree on one proposal.
 Equal images are one class beforehand; lists of candidates go through ``rounds``, so groups of copies of
@@ -23,7 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarmaq.llm.rounds import linked
+from tarmaq.llm import textkit
+from tarmaq.llm.rounds import centred, settled
 from tarmaq.llm.store import written
 
 SCALES = (1.0, 0.7, 0.5)
@@ -33,9 +36,14 @@ CORNER_PIXELS = 256
 PATCH = 13
 TURNS = 32
 BITS = 256
-#: Hamming tables, the bits of a key (at most 32), and shared keys that make a candidate.
-TABLES, KEY_BITS = 48, 24
-VOTES = 1
+#: Hamming tables, the bits of each descriptor in a key, and the neighbours that a corner is paired with.
+TABLES, KEY_BITS, NEIGHBOURS = 4, 25, 3
+#: Sectors of a pair's two turns: of its direction, and of the neighbour's orientation, both against the corner's own.
+SECTORS = 12
+#: Rounds of smoothing before brightness is compared, and the least difference, in mean deviations of the patch.
+SMOOTH, CONTRAST = 4, 0.3
+#: Corners nearer than this are one spot, seen at several scales.
+SPOT = 2.0
 #: Most bits in which two matched descriptors differ.
 NEAR_BITS = 48
 #: Matches that must agree on one transform, and their least share of the image with fewer corners.
@@ -52,7 +60,8 @@ _TURNED = np.stack([np.rint(_PATTERN @ np.array([[np.cos(a), -np.sin(a)], [np.si
 _DISC = np.stack(np.meshgrid(np.arange(-PATCH, PATCH + 1), np.arange(-PATCH, PATCH + 1), indexing="ij"), -1).reshape(-1, 2)
 _DISC = _DISC[(_DISC**2).sum(1) <= PATCH**2]
 _PAD = 2 * PATCH
-_SAMPLED = np.stack([np.random.default_rng([5, k]).permutation(BITS)[:KEY_BITS] for k in range(TABLES)])
+_draws = [np.random.default_rng([5, k]) for k in range(TABLES)]
+_ORDERS = [(r.permutation(BITS), r.permutation(BITS)) for r in _draws]
 
 
 def _png(raw: bytes) -> np.ndarray | None:
@@ -166,9 +175,12 @@ def describe(image: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         angle = np.arctan2(patch @ _DISC[:, 0], patch @ _DISC[:, 1])
         turn = np.rint(angle / (2 * np.pi / TURNS)).astype(int) % TURNS
         at = _TURNED[turn]
+        for _ in range(SMOOTH):
+            x = _blur(x)
         p = x[ys[:, None] + _PAD + at[:, :, 0, 0], xs[:, None] + _PAD + at[:, :, 0, 1]]
         q = x[ys[:, None] + _PAD + at[:, :, 1, 0], xs[:, None] + _PAD + at[:, :, 1, 1]]
-        words.append(np.packbits(p > q, axis=1).view("<u8"))
+        least = CONTRAST * np.abs(patch - patch.mean(1, keepdims=True)).mean(1, keepdims=True)
+        words.append(np.packbits(p > q + least, axis=1).view("<u8"))
         found.append(np.column_stack([(ys + 0.5) / scale, (xs + 0.5) / scale, np.full(len(ys), scale), angle, strength]))
     if not found:
         return np.zeros((0, 4), np.float32), np.zeros((0, BITS // 64), np.uint64)
@@ -177,13 +189,31 @@ def describe(image: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return corners[best, :4].astype(np.float32), bits[best]
 
 
-def keys(words: np.ndarray) -> np.ndarray:
-    """The distinct (table, sampled bits) of some descriptors, each as one number."""
-    bits = np.unpackbits(np.ascontiguousarray(words).view(np.uint8).reshape(len(words), BITS // 8), axis=1)
-    out = np.empty((TABLES, len(words)), np.int64)
-    for k, sampled in enumerate(_SAMPLED):
-        out[k] = bits[:, sampled].astype(np.int64) @ (1 << np.arange(KEY_BITS)) | (k << 32)
-    return np.unique(out)
+def keys(corners: np.ndarray, words: np.ndarray, key_bits: int = KEY_BITS) -> np.ndarray:
+    """The distinct keys of an image: hashes of table, sampled bits and turns of each corner and each of its neighbours.
+
+    A single corner is its own neighbour.
+    """
+    n = len(words)
+    if not n:
+        return np.empty(0, np.int64)
+    bits = np.unpackbits(np.ascontiguousarray(words).view(np.uint8).reshape(n, BITS // 8), axis=1)
+    weights = np.uint64(1) << np.arange(key_bits, dtype=np.uint64)
+    parts = [tuple(textkit.mix((bits[:, order[:key_bits]] * weights).sum(1, dtype=np.uint64) + np.uint64(k << 60)) for order in orders) for k, orders in enumerate(_ORDERS)]
+    at = corners[:, 1].astype(float) + 1j * corners[:, 0]  # the axes of the angles
+    own_turn = corners[:, 3].astype(float)
+    sector = lambda x: np.floor(x / (2 * np.pi) * SECTORS + 0.5).astype(np.int64) % SECTORS
+    out = []
+    step = max(1, (1 << 20) // n)
+    for a in range(0, n, step):
+        far = np.abs(at[a : a + step, None] - at[None])
+        far[far < SPOT] = np.inf
+        near = np.argsort(far, axis=1, kind="stable")[:, : min(NEIGHBOURS, max(n - 1, 1))]
+        own, other = np.repeat(np.arange(a, a + len(far)), near.shape[1]), near.reshape(-1)
+        turns = sector(np.angle(at[other] - at[own]) - own_turn[own]) * SECTORS + sector(own_turn[other] - own_turn[own])
+        for one, two in parts:
+            out.append(textkit.mix(one[own] ^ (two[other] << np.uint64(1)) ^ textkit.mix(turns.astype(np.uint64) + np.uint64(1))))
+    return np.unique(np.concatenate(out)).view(np.int64)
 
 
 def _nearest(da: np.ndarray, db: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -221,23 +251,26 @@ def consensus(ka: np.ndarray, da: np.ndarray, kb: np.ndarray, db: np.ndarray, le
     return best
 
 
-def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    none = np.empty(0, np.int64)
-    for batch in batches:
-        for at in range(0, batch.num_rows, 64):
-            part = batch.slice(at, 64)
-            rows = []
-            for raw in part.column(1).to_pylist():
-                image = decode(raw)
-                if image is None:
-                    rows.append((f"raw {hashlib.sha256(raw).hexdigest()}" if raw else None, 0, b"", b"", none))
-                    continue
-                corners, words = describe(image)
-                digest = hashlib.sha256(repr(image.shape).encode() + image.astype(np.float32).tobytes()).hexdigest()
-                rows.append((digest, len(corners), corners.astype("<f4").tobytes(), words.astype("<u8").tobytes(), keys(words)))
-            digest, n, corners, words, posted = zip(*rows, strict=True)
-            lists = pa.ListArray.from_arrays(np.cumsum([0, *map(len, posted)]).astype(np.int32), np.concatenate(posted))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(digest, pa.string()), pa.array(n, pa.int32()), pa.array(corners, pa.binary()), pa.array(words, pa.binary()), lists], names=["id", "digest", "n", "corners", "words", "keys"])
+def _features(key_bits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = np.empty(0, np.int64)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                rows = []
+                for raw in part.column(1).to_pylist():
+                    image = decode(raw)
+                    if image is None:
+                        rows.append((f"raw {hashlib.sha256(raw).hexdigest()}" if raw else None, 0, b"", b"", none))
+                        continue
+                    corners, words = describe(image)
+                    digest = hashlib.sha256(repr(image.shape).encode() + image.astype(np.float32).tobytes()).hexdigest()
+                    rows.append((digest, len(corners), corners.astype("<f4").tobytes(), words.astype("<u8").tobytes(), keys(corners, words, key_bits)))
+                digest, n, corners, words, posted = zip(*rows, strict=True)
+                lists = pa.ListArray.from_arrays(np.cumsum([0, *map(len, posted)]).astype(np.int32), np.concatenate(posted))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(digest, pa.string()), pa.array(n, pa.int32()), pa.array(corners, pa.binary()), pa.array(words, pa.binary()), lists], names=["id", "digest", "n", "corners", "words", "keys"])
+
+    return run
 
 
 def _consensus(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,30 +289,32 @@ def _consensus(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
 
-def image_groups(media: DataFrame, id_column: str = "media_id", bytes_column: str = "content") -> DataFrame:
+def image_groups(media: DataFrame, id_column: str = "media_id", bytes_column: str = "content", key_bits: int = KEY_BITS) -> DataFrame:
     """id, n_corners, component_id, kept: groups of copies among the images of a binary column.
 
     component_id is the least id reachable over confirmed pairs and equal images. Images without corners are linked
     with equal images only, undecodable ones with equal bytes only, nulls and empty values with nothing. Rows without id have a
-    null component and are kept; repeated rows get the same. An empty table gives no rows.
+    null component and are kept; repeated rows get the same. An empty table gives no rows. ``key_bits``: see the module.
     """
     source = media.select(F.col(id_column).cast("long").alias("id"), F.col(bytes_column).cast("binary").alias("content"))
-    found = written(source.mapInArrow(_features, "id long, digest string, n int, corners binary, words binary, keys array<long>"))
+    found = written(source.mapInArrow(_features(key_bits), "id long, digest string, n int, corners binary, words binary, keys array<long>"))
     some = found.where("digest IS NOT NULL AND id IS NOT NULL")
     classes = written(some.groupBy("digest").agg(F.min("id").alias("rep")))
     reps = some.join(classes.select("digest", F.col("rep").alias("id")), ["digest", "id"], "left_semi").dropDuplicates(["id"])
     post = reps.select("id", F.explode("keys").alias("key"))
     shared = post.groupBy("key").agg(F.count("*").alias("df")).where("df > 1").select("key")
-    post = written(post.join(shared, "key", "left_semi").withColumn("score", F.lit(0)))
+    post = written(post.join(shared, "key", "left_semi"))
+    # The image that others were edited from shares the most keys.
+    post = written(post.join(post.groupBy("id").agg(F.count("*").alias("score")), "id").select("key", "id", "score"))
     parts = reps.select("id", "corners", "words")
 
     def confirm(pairs: DataFrame) -> DataFrame:
         whole = pairs.join(parts.toDF("a", "ca", "wa"), "a").join(parts.toDF("b", "cb", "wb"), "b")
         return whole.select("a", "b", "ca", "wa", "cb", "wb").mapInArrow(_consensus, "a long, b long")
 
-    result = linked(post, confirm, votes=VOTES)
-    if result.label is not None:
-        classes = classes.join(result.label.withColumnRenamed("id", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
+    label = settled(post, confirm, centred(post, confirm))
+    if label is not None:
+        classes = classes.join(label.withColumnRenamed("id", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
     else:
         classes = classes.withColumnRenamed("rep", "component")
     out = found.select("id", "digest", F.col("n").alias("n_corners")).join(classes, "digest", "left")

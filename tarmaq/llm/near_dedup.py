@@ -7,12 +7,13 @@
    under its COORDINATES - MATCHES + 1 rarest (the prefix), and one with too few shared keys not at all.
 3. Collisions are counted on the signatures of candidate pairs; those under MATCHES are skipped, the rest
    are confirmed on the full sets.
-4. Candidates come in rounds. Every posting list is joined to its most central member only, which is linear in
-   the list and links most of a large group of copies. Lists within one component are skipped from then on.
-5. In the lists that are left, a group's heavily edited copies share keys with all others and links with few. Their
-   members (any link that is still missing is between two of them) are merged by exact prefixes instead: under their
-   rarest shingles, as many as two sets of the wanted similarity can't all miss. An edited copy's rarest shingles are its
-   own edits, so it meets only texts that have the same ones.
+4. Every posting list is joined to its most central member (its centre) only, which is linear in the list
+   and links most of a large group of copies. Lists whose members are in one component then are skipped.
+5. In the lists that are left, heavily edited copies of one text share keys with all others and are linked with few. All their
+   pairs are decided without listing them: each member is written as its difference to the list's centre. Two
+   members' sets differ by what their differences differ by, so two that are to be linked, not both linked with the
+   centre, must have some of their differences in common, the same word edited in the same way. The differences are posted in
+   order of rarity, prefixes only, and pairs that could still reach the similarity by what follows are confirmed. Random edits are nobody else's and are not posted.
 """
 
 from __future__ import annotations
@@ -21,11 +22,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarmaq.llm import textkit
-from tarmaq.llm.rounds import linked
+from tarmaq.llm.components import components
+from tarmaq.llm.rounds import Linked, centred, several
 from tarmaq.llm.store import written
 
 WORDS = 4
@@ -88,23 +90,26 @@ def _sign(words: int):
 
 
 def _sets(words: int):
-    """Sorted distinct shingle hashes, 40 bits of each: enough within one pair."""
+    """Sorted distinct shingle hashes of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for t in textkit.chunks(batch.column(1)):
                 hashes, bounds = _distinct(*shingle_hashes(t, words))
-                raw = np.ascontiguousarray((hashes >> _U(24)).view(np.uint8).reshape(-1, 8)[:, :5])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(t.rows.start, len(t)), pa.array([raw[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())], names=["id", "shingles"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(t.rows.start, len(t)), pa.array([hashes[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())], names=["id", "shingles"])
 
     return run
 
 
 def _wide(x: pa.Scalar) -> np.ndarray:
-    raw = np.frombuffer(x.as_buffer(), np.uint8).reshape(-1, 5)
-    out = np.zeros((len(raw), 8), np.uint8)
-    out[:, :5] = raw
-    return out.view(_U).reshape(-1)
+    return np.frombuffer(x.as_buffer(), _U)
+
+
+def _member(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which of b's elements the sorted, not empty a has."""
+    at = np.searchsorted(a, b)
+    at[at == len(a)] = 0
+    return a[at] == b
 
 
 def _confirm(percent: int):
@@ -117,38 +122,74 @@ def _confirm(percent: int):
                 if last is None or last[0] != a_ids[i]:
                     last = (a_ids[i], _wide(batch.column(2)[i]))
                 a, b = last[1], _wide(batch.column(3)[i])
-                at = np.searchsorted(a, b)
-                at[at == len(a)] = 0
-                both = int((a[at] == b).sum())
+                both = int(_member(a, b).sum())
                 keep.append(100 * both >= percent * (len(a) + len(b) - both))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
-def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, key) for every member of every set."""
+def _difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(o, id, c, n, no, shingles, centre's) to (o, id, c, n, no, m, d): what id has and o lacks, or the other way round, as hashes, and how many."""
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
             part = batch.slice(at, 256)
-            sets = [_wide(x) for x in part.column(1)]
-            ids = np.repeat(np.asarray(part.column(0)), [len(x) for x in sets])
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.concatenate(sets).view(np.int64))], names=["id", "key"])
+            found = []
+            for i in range(part.num_rows):
+                a, b = _wide(part.column(5)[i]), _wide(part.column(6)[i])
+                more, less = a[~_member(b, a)], b[~_member(a, b)]
+                found.append(np.concatenate((textkit.mix(more), textkit.mix(less ^ _U(0x5851F42D4C957F2D)))))
+            size = np.array([len(x) for x in found], np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(size))).astype(np.int32)), pa.array(np.concatenate(found).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([*part.columns[:5], pa.array(size), lists], names=["o", "id", "c", "n", "no", "m", "d"])
+
+
+def _prefixes(reps: DataFrame, matches: int) -> DataFrame:
+    """key, id, score: the postings of each signature's rarest coordinates, but for those nobody shares.
+
+    Two signatures with ``matches`` equal coordinates share one of the first COORDINATES - matches + 1 in any common
+    order, here by rarity. Unshared coordinates come first in it and fill the prefix; a signature with fewer than
+    ``matches`` shared ones has no postings. score is the share of shared coordinates: the member that others were edited
+    from has the most.
+    """
+    items = reps.select("id", F.explode("sig").alias("key"))
+    shared = items.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
+    own = items.join(shared, "key").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("keys")).where(F.size("keys") >= matches)
+    prefix = F.slice("keys", F.lit(1), F.size("keys") - matches + 1)
+    return own.select("id", F.explode(prefix).alias("k"), (F.size("keys") / COORDINATES).alias("score")).select(F.col("k")["key"].alias("key"), "id", "score")
 
 
-def _prefixes(items: DataFrame, sizes: DataFrame, needed: Column) -> DataFrame:
-    """key, id, score: the postings of each set's rarest keys, but for keys nobody shares.
+def difference_pairs(first: Linked, sets: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components, from one open list, that may reach percent: none that does is missing.
 
-    items(id, key); sizes(id, n). Two sets that share ``needed`` (of n) keys share one of the first n - needed + 1 in any
-    common order, here by rarity. Unshared keys come first in it and fill the prefix, so what is left of the
-    prefix are the first of the shared ones; a set with fewer than needed shared keys has none. score is the share
-    of shared keys: the member that others were edited from has the most.
+    z and y are linked if |z ^ y| * (100 + percent) <= (100 - percent) * (|z| + |y|), ^ being what either has alone. With the differences
+    dz = z ^ o, dy = y ^ o to a centre o, z ^ y = dz ^ dy: they need |dz & dy| >= (|dz| + |dy| - share * (|z| + |y|)) / 2
+    in common. A member within share * (|z| + |o|) of its centre is linked with it; pairs of two such are in one component
+    already. For any other pair the need is positive, and its least value over all partners gives each side's prefix.
     """
-    shared = items.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
-    own = items.join(shared, "key").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("keys"))
-    own = own.join(sizes, "id").withColumn("needed", needed).where(F.size("keys") >= F.col("needed"))
-    prefix = F.slice("keys", F.lit(1), (F.size("keys") - F.col("needed") + 1).cast("int"))
-    return own.select("id", F.explode(prefix).alias("k"), (F.size("keys") / F.col("n")).alias("score")).select(F.col("k")["key"].alias("key"), "id", "score")
+    near, far = 100 - percent, 100 + percent  # share = near / far
+    groups = several(first.open.join(first.centres, "key").select("o", "id", "c").distinct(), ["o"])
+    size_of = lambda x, n: sizes.select(F.col("id").alias(x), F.col("n_shingles").alias(n))
+    whole = groups.join(size_of("id", "n"), "id").join(size_of("o", "no"), "o").join(sets, "id").join(sets.toDF("o", "centre"), "o")
+    diff = written(whole.select("o", "id", "c", "n", "no", "shingles", "centre").mapInArrow(_difference, "o long, id long, c long, n long, no long, m long, d array<long>"))
+    items = diff.select("o", "id", F.explode("d").alias("e"))
+    shared = items.groupBy("o", "e").agg(F.count("*").alias("df")).where("df > 1")
+    own = items.join(shared, ["o", "e"]).groupBy("o", "id").agg(F.sort_array(F.collect_list(F.struct("df", "e"))).alias("keys"))
+    own = own.join(diff.drop("d"), ["o", "id"])
+    inside = F.col("m") * far <= near * (F.col("n") + F.col("no"))
+    # Twice the need, times far, for the partner that needs least: an outer member's has few differences (at least one), an inner one's is just outside.
+    least = F.when(inside, F.col("m") * far + near * (F.col("no") - F.col("n")) + 1).otherwise(F.col("m") * far - near * (F.col("n") + F.col("no")) + 2 * percent)
+    need = F.greatest(F.ceil(least / (2 * far)), F.lit(1)).cast("int")
+    own = own.withColumn("inside", inside).withColumn("need", need).where(F.size("keys") >= F.col("need"))
+    spot = F.posexplode(F.slice("keys", F.lit(1), F.size("keys") - F.col("need") + 1)).alias("at", "k")
+    post = own.select("o", "id", "c", "n", "m", "inside", F.size("keys").alias("shared"), spot)
+    post = post.select("o", F.col("k")["e"].alias("e"), "id", "c", "n", "m", "inside", (F.col("shared") - F.col("at")).alias("rest"))
+    post = written(post)
+    other = post.where("NOT inside").select("o", "e", *(F.col(x).alias(f"{x}2") for x in ("id", "c", "n", "m", "rest")))
+    enough = F.least("rest", "rest2") * 2 * far >= (F.col("m") + F.col("m2")) * far - near * (F.col("n") + F.col("n2"))
+    once = F.col("inside") | (F.col("id") < F.col("id2"))
+    pairs = post.join(other, ["o", "e"]).where((F.col("c") != F.col("c2")) & once & enough)
+    return pairs.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
 
 
 def near_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, matches: int = MATCHES) -> DataFrame:
@@ -165,7 +206,7 @@ def near_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, mat
     same = ["ha", "hb", "n_shingles"]
     reps = written(signed.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy(*same).agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig")))
     sizes = reps.select("id", "n_shingles")
-    post = written(_prefixes(reps.select("id", F.explode("sig").alias("key")), sizes.withColumn("n", F.lit(COORDINATES)), F.lit(matches)))
+    post = written(_prefixes(reps, matches))
     post = written(post.join(post.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key", "left_semi"))
     wanted = post.select("id").distinct()
     sets = written(texts.withColumnRenamed("doc_id", "id").join(wanted, "id", "left_semi").mapInArrow(_sets(words), "id long, shingles binary").dropDuplicates(["id"]))
@@ -178,11 +219,12 @@ def near_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, mat
         whole = likely.join(sets.toDF("b", "zb"), "b").join(sets.toDF("a", "za"), "a").select("a", "b", "za", "zb")
         return whole.mapInArrow(_confirm(percent), "a long, b long")
 
-    first = linked(post, confirm, exhaustive=False)
-    rest = sets.join(first.open.select("id").distinct(), "id", "left_semi").select("id", "shingles")
-    items = written(rest.mapInArrow(_shingles, "id long, key long"))
-    exact = written(_prefixes(items, sizes.select("id", F.col("n_shingles").alias("n")), F.ceil(F.col("n") * percent / 100)))
-    label = linked(exact, confirm, first).label
+    first = centred(post, confirm)
+    label = first.label
+    if not first.open.isEmpty():
+        more = written(confirm(written(difference_pairs(first, sets, sizes, percent))))
+        if not more.isEmpty():
+            label = components(more if first.links is None else first.links.unionByName(more))
     classes = reps.select(*same, F.col("id").alias("rep"))
     if label is not None:
         classes = classes.join(label.select(F.col("id").alias("rep"), "component"), "rep", "left").select(*same, F.coalesce("component", "rep").alias("component"))

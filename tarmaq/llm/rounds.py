@@ -14,60 +14,74 @@ from tarmaq.llm.store import written
 
 @dataclass
 class Linked:
-    """links (a, b) that hold; label (id, component) of linked ids; open (key, id): lists that lie in several components."""
+    """links (a, b) that hold; label (id, component) of linked ids; open (key, id, c): members of the lists that lie in several
+    components c, without a list's centre; centres (key, o); tried (a, b): the pairs that were confirmed or not."""
 
     links: DataFrame | None
     label: DataFrame | None
     open: DataFrame
+    centres: DataFrame
+    tried: DataFrame
 
 
-def _members(post: DataFrame, label: DataFrame | None) -> DataFrame:
+def labelled(member: DataFrame, label: DataFrame | None) -> DataFrame:
+    """Adds c, the component of each id; an id without links is its own."""
     if label is None:
-        return post.withColumn("c", F.col("id"))
-    return post.join(label, "id", "left").select(*post.columns, F.coalesce("component", "id").alias("c"))
+        return member.withColumn("c", F.col("id"))
+    return member.join(label, "id", "left").select(*member.columns, F.coalesce("component", "id").alias("c"))
 
 
-def _open(member: DataFrame) -> DataFrame:
-    lists = member.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
-    return written(member.join(lists, "key", "left_semi"))
+def several(member: DataFrame, key: list[str]) -> DataFrame:
+    """The rows of those keys whose members (key, id, c) lie in several components."""
+    lists = member.groupBy(*key).agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select(*key)
+    return member.join(lists, key, "left_semi")
 
 
-def linked(post: DataFrame, confirm: Callable[[DataFrame], DataFrame], start: Linked | None = None, votes: int = 1, centre_rounds: int = 1, exhaustive: bool = True) -> Linked:
-    """post(key, id, score), distinct in (key, id).
+def centred(post: DataFrame, confirm: Callable[[DataFrame], DataFrame], votes: int = 1) -> Linked:
+    """post(key, id, score), distinct in (key, id), one round of candidates: each list's members and its centre.
 
-    confirm takes candidate pairs (a, b), a < b, that share at least ``votes`` keys, and returns those that hold. Each
-    round joins every list that is still in several components to one centre, which is linear in the list:
-    first its member of the greatest score, later that among the members outside the first one's component. With
-    ``exhaustive`` the pairs across components that are left are joined in full, so that no two components
-    with a link stay apart; without it they are returned as ``open``.
+    confirm takes candidate pairs (a, b), a < b, and returns those that hold. The centre of a list is its member of
+    the greatest score, the least id on ties; a pair counts as candidate with ``votes`` lists. This is linear in the lists, and links most of a large group of
+    copies. A pair of two members, none of them the centre, is left to the caller: ``open`` has the lists with such pairs
+    across components.
     """
-    links, label = (start.links, start.label) if start else (None, None)
-    tried: DataFrame | None = None
-    firsts: DataFrame | None = None
-    member = _open(_members(post, label))
-    top = F.max_by(F.struct("id", "c"), F.struct("score", -F.col("id"))).alias("x")
-    for turn in range(centre_rounds + int(exhaustive)):
-        if member.isEmpty():
-            break
-        if turn < centre_rounds:
-            pool = member
-            if firsts is not None:
-                known = _members(firsts, label).select("key", F.col("c").alias("fc"))
-                pool = member.join(known, "key").where("c <> fc")
-            centres = written(pool.groupBy("key").agg(top).select("key", F.col("x.id").alias("o"), F.col("x.c").alias("oc")))
-            firsts = centres.select("key", F.col("o").alias("id")) if firsts is None else firsts
-            pairs = member.join(centres, "key").where("c <> oc")
-        else:
+    centres = written(post.groupBy("key").agg(F.max_by("id", F.struct("score", -F.col("id"))).alias("o")))
+    pairs = post.join(centres, "key").where("id <> o").groupBy(F.least("id", "o").alias("a"), F.greatest("id", "o").alias("b")).agg(F.count("*").alias("n"))
+    tried = written(pairs.where(F.col("n") >= votes).select("a", "b"))
+    found = written(confirm(tried))
+    label = None if found.isEmpty() else components(found)
+    rest = labelled(post.select("key", "id"), label).join(centres, "key").where("id <> o").select("key", "id", "c")
+    return Linked(None if label is None else found, label, written(several(rest, ["key"])), centres, tried)
+
+
+def settled(post: DataFrame, confirm: Callable[[DataFrame], DataFrame], first: Linked, most: int = 4) -> DataFrame | None:
+    """The label after all pairs across components of one list have been tried, where nothing but a key tells which can hold.
+
+    As long as these pairs are more than ``most`` times the rows of the open lists, another round takes a further centre of
+    each list, which it leaves, so lists get shorter and components larger; what is left then is joined in full.
+    """
+    member = post.join(first.open.select("key", "id"), ["key", "id"], "left_semi")
+    links, label, tried = first.links, first.label, first.tried
+    while True:
+        member = written(several(labelled(member.select("key", "id", "score"), label), ["key"]))
+        per = member.groupBy("key", "c").agg(F.count("*").alias("k")).groupBy("key").agg(F.sum("k").alias("n"), F.sum(F.col("k") * F.col("k")).alias("same"))
+        rows, across = per.agg(F.sum("n"), F.sum((F.col("n") * F.col("n") - F.col("same")) / 2)).first()
+        if not rows:
+            return label
+        short = across <= most * rows
+        if short:
             pairs = member.join(member.select("key", F.col("id").alias("o"), F.col("c").alias("oc")), "key").where("c <> oc AND id < o")
-        pairs = pairs.select(F.least("id", "o").alias("a"), F.greatest("id", "o").alias("b")).groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= votes).select("a", "b")
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = written(pairs)
-        if pairs.isEmpty():
-            continue
-        tried = pairs if tried is None else tried.unionByName(pairs)
+        else:
+            top = F.max_by(F.struct("id", "c"), F.struct("score", -F.col("id"))).alias("x")
+            centres = written(member.groupBy("key").agg(top).select("key", F.col("x.id").alias("o"), F.col("x.c").alias("oc")))
+            pairs = member.join(centres, "key").where("c <> oc")
+            member = member.join(centres, "key").where("id <> o")
+        pairs = pairs.select(F.least("id", "o").alias("a"), F.greatest("id", "o").alias("b")).distinct()
+        pairs = written(pairs.join(tried, ["a", "b"], "left_anti"))
+        tried = tried.unionByName(pairs)
         found = written(confirm(pairs))
-        links = found if links is None else links.unionByName(found)
-        label = components(links)
-        member = _open(_members(post, label))
-    return Linked(links, label, member.select("key", "id"))
+        if not found.isEmpty():
+            links = found if links is None else links.unionByName(found)
+            label = components(links)
+        if short:
+            return label

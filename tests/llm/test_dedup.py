@@ -96,6 +96,27 @@ def test_near(docs, rows):
     assert sorted(map(repr, got)) == sorted(map(repr, want)) and len({r[2] for r in want}) < len(rows) - 10
 
 
+def test_far_copies_of_one_text(spark):
+    """Copies of one text edited too far to be linked with it, some of them edited alike: all links without listing all pairs."""
+    r = random.Random(8)
+    base = [f"w{r.randrange(400)}" for _ in range(160)]
+    texts = [list(base)]
+    for k in range(120):
+        own = list(r.choice(texts[-6:]) if k % 3 == 0 else base)
+        for at in r.sample(range(160), r.choice((1, 2, 4, 6, 7, 8, 10, 14))):
+            own[at] = f"e{r.randrange(10**9)}" if k % 2 else f"w{r.randrange(400)}"
+        texts.append(own)
+    rows = [(i, " ".join(x)) for i, x in enumerate(texts)]
+    sets = [{tuple(x[k : k + 4]) for k in range(len(x) - 3)} for x in texts]
+    group = list(range(len(sets)))
+    links = [(a, b) for a in range(len(sets)) for b in range(a) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    for _ in sets:
+        for a, b in links:
+            group[a] = group[b] = min(group[a], group[b])
+    got = {x["doc_id"]: x["component_id"] for x in near_dedup.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == dict(enumerate(group)) and len(set(group)) > 15
+
+
 def test_lines(docs, rows):
     strip = " \t\n\x0b\x0c\r"
     key = lambda x: x.strip(strip).translate({k: k + 32 for k in range(65, 91)})

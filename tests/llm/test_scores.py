@@ -210,10 +210,26 @@ def test_media_candidates(spark):
     for _ in described:
         for a, b in pairs:
             group[a] = group[b] = min(group[a], group[b])
-    out = media.image_groups(spark.createDataFrame([(i, media.encode_pgm(x)) for i, x in made], "media_id long, content binary")).collect()
-    assert {r["id"]: r["component_id"] for r in out} == group
+    out = media.image_groups(spark.createDataFrame([(i, media.encode_pgm(x)) for i, x in made], "media_id long, content binary"), key_bits=15).collect()
+    found = {r["id"]: r["component_id"] for r in out}
+    assert np.mean([found[a] == found[b] for a, b in pairs]) >= 0.9 and all(group[found[i]] == group[i] for i in found)
     assert len(described[100][0]) > media.CORNERS
-    assert np.mean([len(np.intersect1d(media.keys(described[a][1]), media.keys(described[b][1]))) >= media.VOTES for a, b in pairs]) > 0.97
+
+
+def test_media_candidates_of_drawn_vectors(spark, duck):
+    """Noisy copies of drawn vectors, the registered query's kind: recall against consensus over all pairs, in production settings."""
+    from itertools import combinations
+
+    r = np.random.default_rng(5)
+    base = r.normal(0, 0.125, (60, 64))
+    vectors = [x + r.normal(0, s, 64) for x in base for s in (0, 0.012, 0.02, 0.025)]
+    described = [media.describe(media.decode(media.encode_pgm(media.draw(x)))) for x in vectors]
+    keys = [media.keys(*d) for d in described]
+    pairs = [(a, b) for a, b in combinations(range(len(vectors)), 2) if media.consensus(*described[a], *described[b]) >= max(media.INLIERS, media.INLIER_SHARE * min(len(described[a][0]), len(described[b][0])))]
+    shared = [bool(len(np.intersect1d(keys[a], keys[b]))) for a, b in pairs]
+    assert len(pairs) >= 340 and np.mean(shared) >= 0.9
+    out = media.image_groups(spark.createDataFrame([(i, media.encode_pgm(media.draw(x))) for i, x in enumerate(vectors)], "media_id long, content binary")).collect()
+    assert np.mean([r["component_id"] == r["id"] // 4 * 4 for r in out]) >= 0.98
 
 
 def test_equal_bytes_of_unread_formats(spark):
