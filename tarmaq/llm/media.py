@@ -131,8 +131,15 @@ def draw(vector: np.ndarray) -> np.ndarray:
 
 
 def _blur(x: np.ndarray) -> np.ndarray:
-    for axis in (0, 1):
-        x = (np.roll(x, 1, axis) + 2 * x + np.roll(x, -1, axis)) / 4
+    # A row or column at the rim takes its missing neighbour from the other side, which callers pad.
+    for _ in (0, 1):
+        out = x * 2.0
+        out[1:] += x[:-1]
+        out[0] += x[-1]
+        out[:-1] += x[1:]
+        out[-1] += x[0]
+        out /= 4
+        x = out.T
     return x
 
 
@@ -251,39 +258,48 @@ def consensus(ka: np.ndarray, da: np.ndarray, kb: np.ndarray, db: np.ndarray, le
     return best
 
 
-def _features(key_bits: int):
+def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, 64):
+            part = batch.slice(at, 64)
+            rows = []
+            for raw in part.column(1).to_pylist():
+                image = decode(raw)
+                if image is None:
+                    rows.append((f"raw {hashlib.sha256(raw).hexdigest()}" if raw else None, 0, b"", b""))
+                    continue
+                corners, words = describe(image)
+                digest = hashlib.sha256(repr(image.shape).encode() + image.astype(np.float32).tobytes()).hexdigest()
+                rows.append((digest, len(corners), corners.astype("<f4").tobytes(), words.astype("<u8").tobytes()))
+            digest, n, corners, words = zip(*rows, strict=True)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(digest, pa.string()), pa.array(n, pa.int32()), pa.array(corners, pa.binary()), pa.array(words, pa.binary())], names=["id", "digest", "n", "corners", "words"])
+
+
+def _corners(x: pa.Scalar) -> np.ndarray:
+    return np.frombuffer(x.as_buffer(), "<f4").reshape(-1, 4)
+
+
+def _words(x: pa.Scalar) -> np.ndarray:
+    return np.frombuffer(x.as_buffer(), "<u8").reshape(-1, BITS // 64)
+
+
+def _posted(key_bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        none = np.empty(0, np.int64)
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
-                rows = []
-                for raw in part.column(1).to_pylist():
-                    image = decode(raw)
-                    if image is None:
-                        rows.append((f"raw {hashlib.sha256(raw).hexdigest()}" if raw else None, 0, b"", b"", none))
-                        continue
-                    corners, words = describe(image)
-                    digest = hashlib.sha256(repr(image.shape).encode() + image.astype(np.float32).tobytes()).hexdigest()
-                    rows.append((digest, len(corners), corners.astype("<f4").tobytes(), words.astype("<u8").tobytes(), keys(corners, words, key_bits)))
-                digest, n, corners, words, posted = zip(*rows, strict=True)
-                lists = pa.ListArray.from_arrays(np.cumsum([0, *map(len, posted)]).astype(np.int32), np.concatenate(posted))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(digest, pa.string()), pa.array(n, pa.int32()), pa.array(corners, pa.binary()), pa.array(words, pa.binary()), lists], names=["id", "digest", "n", "corners", "words", "keys"])
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                found = [keys(_corners(part.column(1)[i]), _words(part.column(2)[i]), key_bits) for i in range(part.num_rows)]
+                ids = np.repeat(np.asarray(part.column(0)), [len(x) for x in found])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), pa.array(ids)], names=["key", "id"])
 
     return run
 
 
 def _consensus(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def corners(x: pa.Scalar) -> np.ndarray:
-        return np.frombuffer(x.as_buffer(), "<f4").reshape(-1, 4)
-
-    def words(x: pa.Scalar) -> np.ndarray:
-        return np.frombuffer(x.as_buffer(), "<u8").reshape(-1, BITS // 64)
-
     for batch in batches:
         keep = []
         for i in range(batch.num_rows):
-            ka, da, kb, db = (f(batch.column(c)[i]) for c, f in ((2, corners), (3, words), (4, corners), (5, words)))
+            ka, da, kb, db = (f(batch.column(c)[i]) for c, f in ((2, _corners), (3, _words), (4, _corners), (5, _words)))
             least = max(INLIERS, INLIER_SHARE * min(len(ka), len(kb)))
             keep.append(consensus(ka, da, kb, db, least) >= least)
         yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
@@ -297,11 +313,12 @@ def image_groups(media: DataFrame, id_column: str = "media_id", bytes_column: st
     null component and are kept; repeated rows get the same. An empty table gives no rows. ``key_bits``: see the module.
     """
     source = media.select(F.col(id_column).cast("long").alias("id"), F.col(bytes_column).cast("binary").alias("content"))
-    found = written(source.mapInArrow(_features(key_bits), "id long, digest string, n int, corners binary, words binary, keys array<long>"))
+    found = written(source.mapInArrow(_features, "id long, digest string, n int, corners binary, words binary"))
     some = found.where("digest IS NOT NULL AND id IS NOT NULL")
     classes = written(some.groupBy("digest").agg(F.min("id").alias("rep")))
     reps = some.join(classes.select("digest", F.col("rep").alias("id")), ["digest", "id"], "left_semi").dropDuplicates(["id"])
-    post = reps.select("id", F.explode("keys").alias("key"))
+    # One exchange of all postings serves the count and the join.
+    post = reps.select("id", "corners", "words").mapInArrow(_posted(key_bits), "key long, id long").repartition("key")
     shared = post.groupBy("key").agg(F.count("*").alias("df")).where("df > 1").select("key")
     post = written(post.join(shared, "key", "left_semi"))
     # The image that others were edited from shares the most keys.

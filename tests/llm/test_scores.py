@@ -222,7 +222,7 @@ def test_media_candidates_of_drawn_vectors(spark, duck):
 
     r = np.random.default_rng(5)
     base = r.normal(0, 0.125, (60, 64))
-    vectors = [x + r.normal(0, s, 64) for x in base for s in (0, 0.012, 0.02, 0.025)]
+    vectors = [x + r.normal(0, s, 64) for x in base for s in (0, 0.008, 0.012, 0.016)]
     described = [media.describe(media.decode(media.encode_pgm(media.draw(x)))) for x in vectors]
     keys = [media.keys(*d) for d in described]
     pairs = [(a, b) for a, b in combinations(range(len(vectors)), 2) if media.consensus(*described[a], *described[b]) >= max(media.INLIERS, media.INLIER_SHARE * min(len(described[a][0]), len(described[b][0])))]
