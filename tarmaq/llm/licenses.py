@@ -127,6 +127,7 @@ def align(template: list[int], text: list[int], diagonal: int) -> tuple[int, int
 
 
 def _scan(index: Index, min_coverage: float):
+    @textkit.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_pylist()

@@ -44,6 +44,7 @@ def _long_enough(key: bytes, min_chars: int) -> bool:
 
 
 def _keys(min_chars: int):
+    @textkit.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_pylist()
@@ -68,6 +69,7 @@ def frequent_lines(docs: DataFrame, min_docs: int, min_chars: int) -> DataFrame:
 
 
 def _drop(text_at: int, with_text: bool):
+    @textkit.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, n, dropped, sha = [], [], [], []

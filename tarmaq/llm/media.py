@@ -258,6 +258,7 @@ def consensus(ka: np.ndarray, da: np.ndarray, kb: np.ndarray, db: np.ndarray, le
     return best
 
 
+@textkit.lean
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 64):
@@ -284,6 +285,7 @@ def _words(x: pa.Scalar) -> np.ndarray:
 
 
 def _posted(key_bits: int):
+    @textkit.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
@@ -295,6 +297,7 @@ def _posted(key_bits: int):
     return run
 
 
+@textkit.lean
 def _consensus(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keep = []
@@ -339,6 +342,7 @@ def image_groups(media: DataFrame, id_column: str = "media_id", bytes_column: st
     return out.select("id", "n_corners", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
+@textkit.lean
 def _drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         pictures = [None if v is None else encode_pgm(draw(np.array(v, float))) for v in batch.column(1).to_pylist()]

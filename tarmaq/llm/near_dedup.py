@@ -64,6 +64,7 @@ def _distinct(hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def _sign(words: int):
+    @textkit.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0)
@@ -92,6 +93,7 @@ def _sign(words: int):
 def _sets(words: int):
     """Sorted distinct shingle hashes of each text."""
 
+    @textkit.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for t in textkit.chunks(batch.column(1)):
@@ -113,6 +115,7 @@ def _member(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _confirm(percent: int):
+    @textkit.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
@@ -129,6 +132,7 @@ def _confirm(percent: int):
     return run
 
 
+@textkit.lean
 def _difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(o, id, c, n, no, shingles, centre's) to (o, id, c, n, no, m, d): what id has and o lacks, or the other way round, as hashes, and how many."""
     for batch in batches:

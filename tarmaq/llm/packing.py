@@ -71,6 +71,7 @@ def cut(n: int, capacity: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _pack_partition(path: str, capacity: int, eos: int, specials: bool):
+    @textkit.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 

@@ -65,6 +65,7 @@ def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     return keys, np.bincount(which, np.concatenate([n for _, n in parts]), len(keys)).astype(np.int64)
 
 
+@textkit.lean
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """lang, kind, key, n: word hashes (kind 0) and character classes (kind 1) with their counts, summed over COUNT_BYTES of text."""
     words: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
@@ -187,6 +188,7 @@ def _joined(batch: pa.RecordBatch) -> dict[str, Reference]:
 def _judge(collected: dict[str, Reference] | None):
     """Judge doc_id, lang, text by the collected references, or by those in the columns total, shape and words."""
 
+    @textkit.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             refs = _joined(batch) if collected is None else collected

@@ -163,6 +163,7 @@ def _flush(held: list[tuple[np.ndarray, ...]], buckets: int, by_minimiser: bool)
 def _find(window: int, seed: int, buckets: int):
     """Texts to blocks of compacted paths."""
 
+    @textkit.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
@@ -209,6 +210,7 @@ def _decide(window: int):
 def _list_edges(window: int, seed: int, buckets: int):
     """The edges of the asked paths as blocks, dealt by their own fingerprints."""
 
+    @textkit.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
@@ -265,6 +267,7 @@ def _earliest(window: int):
     return run
 
 
+@textkit.lean
 def _cover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Apply the covered spans: word counts, digest and text of what is kept."""
     for batch in batches:

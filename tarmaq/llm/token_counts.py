@@ -17,6 +17,7 @@ BLOCK = 1024
 
 
 def _count(path: str, specials: bool):
+    @textkit.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for t in textkit.chunks(batch.column(0), tokens.TOKEN_CHUNK):

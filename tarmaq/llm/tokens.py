@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from tarmaq.llm.textkit import _IS_SPACE, Texts, pieces_of
 
 #: Text bytes worked on at a time.
-TOKEN_CHUNK = 16 << 20
+TOKEN_CHUNK = 6 << 20
 #: White space outside ASCII.
 _WIDE_SPACE = re.compile("[\u0085   -     　]")
 _LEADS = np.zeros(256, bool)

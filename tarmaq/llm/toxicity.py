@@ -105,6 +105,7 @@ _SETS = ((0,), (1,), (0, 1))
 def _count_grams(sides: dict[int, tuple[int, bool]]):
     """length, gram, t0, t1, o0, o1: toxic and ordinary documents of each half that have a string, summed over some documents."""
 
+    @textkit.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
@@ -124,6 +125,7 @@ def _count_grams(sides: dict[int, tuple[int, bool]]):
 def _count_stretches(sides: dict[int, tuple[int, bool]], kept: dict[tuple[int, bool], dict[int, np.ndarray]]):
     """which, toxic, part, n: stretches of the strings kept for the sets that a document is in."""
 
+    @textkit.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found: Counter[tuple[int, bool, bytes]] = Counter()
@@ -235,6 +237,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1
 def _describe(sides: dict[int, tuple[int, bool]], contents: list[tuple[bytes, bytes]]):
     """id, row: features of each document by the dictionaries of the other half."""
 
+    @textkit.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         distances = [Distances(*x) for x in contents[:2]]
         for batch in batches:
@@ -307,10 +310,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     at = cols.index("text")
     plain = plain.withColumn(f"c{at}", F.col(f"c{at}").cast("string"))
 
+    @textkit.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         distances = Distances(model.toxic, model.ordinary)
         for batch in batches:
-            parts = [score_chunk(t, model, distances) for t in textkit.chunks(batch.column(at), 8 << 20)]
+            parts = [score_chunk(t, model, distances) for t in textkit.chunks(batch.column(at))]
             scores = pa.array(np.concatenate(parts) if parts else np.empty(0))
             yield pa.RecordBatch.from_arrays([*batch.columns, scores], names=[*batch.schema.names, "score"])
 
@@ -321,10 +325,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 def _slim(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id and score only: texts don't come back from Python."""
 
+    @textkit.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         distances = Distances(model.toxic, model.ordinary)
         for batch in batches:
-            parts = [score_chunk(t, model, distances) for t in textkit.chunks(batch.column(1), 8 << 20)]
+            parts = [score_chunk(t, model, distances) for t in textkit.chunks(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(parts) if parts else np.empty(0))], names=["doc_id", "score"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
