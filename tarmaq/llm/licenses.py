@@ -143,7 +143,7 @@ def _scan(index: Index, min_coverage: float):
                 for i in np.unique(np.concatenate((np.searchsorted(w.first, hit, "right") - 1, short))).tolist():
                     a, b = w.first[i], w.first[i + 1]
                     own = hashes[a:b]
-                    text, seen = own.tolist(), set()
+                    text, seen, found_here = own.tolist(), set(), set()
                     for h, p in zip(*fingerprints(own), strict=True):
                         k = int(np.searchsorted(index.hashes, h))
                         while k < len(index.hashes) and index.hashes[k] == h:
@@ -156,8 +156,8 @@ def _scan(index: Index, min_coverage: float):
                             found = align(words, text, diagonal)
                             if found and found[0] >= min_coverage * len(words):
                                 m, s, e = found
-                                rows.append((ids[t.rows.start + i], index.names[template], m, len(words), m / len(words), s, e + 1, *(int(x - t.offsets[i]) for x in (w.start[a + s], w.end[a + e]))))
-            rows = sorted(set(rows), key=lambda r: (r[0] is None, r[0] or 0, *r[1:]))
+                                found_here.add((ids[t.rows.start + i], index.names[template], m, len(words), m / len(words), s, e + 1, *(int(x - t.offsets[i]) for x in (w.start[a + s], w.end[a + e]))))
+                    rows += sorted(found_here, key=lambda r: r[1:])
             kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
             columns = list(zip(*rows, strict=True)) or [()] * 9
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "template", "matched", "template_words", "coverage", "start_word", "end_word", "start_byte", "end_byte"])
@@ -169,7 +169,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, min_coverage:
     """doc_id, template, matched, template_words, coverage and spans, for each notice found in docs(doc_id, text).
 
     Words are counted without those of punctuation only; spans end before end_word and end_byte (UTF-8). Null and
-    empty texts have no notices. Repeated rows are each scanned, and reported once a batch; a null doc_id stays null. Two places of
+    empty texts have no notices. Repeated rows are each reported; a null doc_id stays null. Two places of
     one template within half a band of each other are one. An empty table gives no rows.
     """
     index = Index(TEMPLATES if templates is None else templates)

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tarmaq.llm.store import written
+
 WEIGHTS = (3, 1, 2)
 #: Size of the mix in percent of all words.
 PERCENT = 150
@@ -61,48 +63,56 @@ def water_fill(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, percent:
     return leveled.select("source", "source_size", F.when(F.col("open"), final * F.col("weight")).otherwise(F.col("cap").cast("double")).alias("target"))
 
 
-def mix(docs: DataFrame, size: Column | None = None, weights: tuple[int, ...] = WEIGHTS, percent: int = PERCENT, max_epochs: int = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
-    """docs with size, source_size, target and copies: how often the mix takes each document.
+def mix(docs: DataFrame, size: str | None = None, weights: tuple[int, ...] = WEIGHTS, percent: int = PERCENT, max_epochs: int = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
+    """docs followed by size, source_size, target and copies: how often the mix takes each document.
 
     target / source_size = n + f: each document is taken n times, and those that come first in the
     seeded order once more, up to the document that brings the source nearest to its target. So a
-    source misses its target by half a document at most. Rows tie by size and text digest where a
-    doc_id repeats; equal rows are interchangeable. A null text has size 0, a null source is a source
+    source misses its target by half a document at most. ``size`` names the column of sizes; without it they are the text's words. Rows tie by
+    size and text digest where a doc_id repeats; equal rows are interchangeable. A null text has size 0, a null source is a source
     of its own, a null doc_id is ordered as the word null. Rows of size 0 are taken as their place in
-    the order has it. An empty table gives no rows. The four columns must not exist in docs.
+    the order has it. An empty table gives no rows. Columns of docs may have any names: they come back in their places, also
+    beside new ones of the same name.
     """
-    source, doc_id, text = (F.col(c) for c in ("source", "doc_id", "text"))
-    rows = docs.withColumns({"size": size if size is not None else word_count(text), "_u": draw_order(seed, doc_id), "_none": source.isNull(), "_key": F.coalesce(source.cast("string"), F.lit(""))})
-    rows = rows.withColumn("_bucket", F.shiftright("_u", _ORDER_BITS - BUCKET_BITS).cast("int"))
-    key = ["_none", "_key"]
-    parts = rows.groupBy(*key, "_bucket").agg(F.sum("size").alias("part"))
+    cols = docs.columns
+    plain = docs.toDF(*[f"c{k}" for k in range(len(cols))])
+    source, doc_id, text = (F.col(f"c{cols.index(c)}") for c in ("source", "doc_id", "text"))
+    size_column = word_count(text) if size is None else F.coalesce(F.col(f"c{cols.index(size)}").cast("long"), F.lit(0).cast("long"))
+    rows = plain.withColumns({"size": size_column, "u": draw_order(seed, doc_id), "none": source.isNull(), "key": F.coalesce(source.cast("string"), F.lit(""))})
+    rows = rows.withColumn("bucket", F.shiftright("u", _ORDER_BITS - BUCKET_BITS).cast("int"))
+    key = ["none", "key"]
+    parts = rows.groupBy(*key, "bucket").agg(F.sum("size").alias("part"))
     totals = parts.groupBy(*key).agg(F.sum("part").alias("source_size"))
-    filled = water_fill(totals.select(F.when(~F.col("_none"), F.col("_key")).alias("source"), "source_size"), weights, percent, max_epochs)
-    filled = filled.select(F.col("source").isNull().alias("_none"), F.coalesce("source", F.lit("")).alias("_key"), "source_size", "target")
+    filled = water_fill(totals.select(F.when(~F.col("none"), F.col("key")).alias("source"), "source_size"), weights, percent, max_epochs)
+    filled = filled.select(F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("key"), "source_size", "target")
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
-    before = F.sum("part").over(Window.partitionBy(*key).orderBy("_bucket")) - F.col("part")
-    plan = parts.withColumn("_before", before).join(filled, key).withColumn("_whole", whole).withColumn("_more", F.col("target") - F.col("_whole") * F.col("source_size"))
+    before = F.sum("part").over(Window.partitionBy(*key).orderBy("bucket")) - F.col("part")
+    plan = parts.withColumn("before", before).join(filled, key).withColumn("whole", whole).withColumn("more", F.col("target") - F.col("whole") * F.col("source_size"))
     plan = plan.drop("part")
-    placed = rows.join(plan.hint("merge"), [*key, "_bucket"])
-    inside = Window.partitionBy(*key, "_bucket").orderBy("_u", doc_id, "size", F.md5(F.coalesce(text, F.lit("")))).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    start = F.col("_before") + F.sum("size").over(inside) - F.col("size")
+    placed = rows.join(plan.hint("merge"), [*key, "bucket"])
+    inside = Window.partitionBy(*key, "bucket").orderBy("u", doc_id, "size", F.md5(F.coalesce(text.cast("string"), F.lit("")))).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    start = F.col("before") + F.sum("size").over(inside) - F.col("size")
     # Taken once more if its middle lies before the remainder: that rounds to the nearest document.
-    again = F.when(2 * start + F.col("size") < 2 * F.col("_more"), 1).otherwise(0)
-    return placed.withColumn("copies", (F.col("_whole") + again).cast("int")).select(*docs.columns, "size", "source_size", "target", "copies")
+    again = F.when(2 * start + F.col("size") < 2 * F.col("more"), 1).otherwise(0)
+    return placed.withColumn("copies", (F.col("whole") + again).cast("int")).select(*plain.columns, "size", "source_size", "target", "copies").toDF(*cols, "size", "source_size", "target", "copies")
 
 
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words taken of every document in a mix of 150 percent."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
-    slim = docs.select("doc_id", "source", F.lit(None).cast("string").alias("text"), word_count(F.col("text")).alias("words"))
-    mixed = mix(slim, size=F.col("words"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    # Texts are read and counted once; the plan below reads sizes twice.
+    slim = written(docs.select("doc_id", "source", word_count(F.col("text")).alias("words")))
+    mixed = mix(slim.withColumn("text", F.lit(None).cast("string")), size="words")
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def pipeline_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mixing stage: each document as often as the mix takes it."""
     cols = docs.columns
-    return mix(docs).where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*cols)
+    mixed = mix(docs)
+    plain = mixed.toDF(*[f"c{k}" for k in range(len(cols))], "size", "source_size", "target", "copies")
+    own = plain.columns[: len(cols)]
+    return plain.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*own).toDF(*cols)
 
 
 _SQL = f"""

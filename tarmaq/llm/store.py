@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; where it is unset (tests), a temporary one is set."""
+    """The folder named in spark.checkpoint.dir, or the one set with setCheckpointDir. There is no other: a local folder would not be shared."""
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if not folder:
         set_already = context._jsc.sc().getCheckpointDir()
         if set_already.isEmpty():
-            context.setCheckpointDir(tempfile.mkdtemp(prefix="tarmaq-"))
+            if not context.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            # A local master is one machine: its warehouse is as shared as it gets.
+            context.setCheckpointDir(spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
             set_already = context._jsc.sc().getCheckpointDir()
         folder = set_already.get()
     return folder.rstrip("/")
@@ -36,3 +38,8 @@ def written(df: DataFrame) -> DataFrame:
 def partitions(spark: SparkSession) -> int:
     """The cluster's shuffle width."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def input_bytes(df: DataFrame) -> int:
+    """The optimizer's estimate of a table's size; of a file scan, the files' size."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())

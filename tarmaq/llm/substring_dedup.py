@@ -10,7 +10,8 @@ Joining. Records are dealt by minimiser. Where all paths of a minimiser are the
 is a repeat as a whole: all but the earliest coordinates are removed and its edges are never
 listed. Where paths differ (the graph branches: ends of a passage, edited copies), one source each is
 looked up by its coordinates, its edges are listed, and the earliest coordinates of every edge decide.
-A last join takes the covered spans to their documents.
+A last join takes the covered spans to their documents. Words are equal if two hashes of 64 bits are: the minimiser's (of ``seed``
+words) and the fingerprint (of all).
 
 Skew. A task first compacts equal paths among its own texts, so the commonest passage has one record
 a chunk of texts; a minimiser with many different paths in one chunk sends two of them as witnesses, and
@@ -28,13 +29,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarmaq.llm import textkit
-from tarmaq.llm.store import partitions, written
+from tarmaq.llm.store import input_bytes, partitions, written
 
 WINDOW = 20
 #: Words of a minimiser.
 SEED = 8
 #: Text bytes whose paths are compacted together before they are sent.
 LOCAL_BYTES = 24 << 20
+#: Input bytes for each bucket of records, one of which is unpacked at a time; the cluster's width times two at least.
+BUCKET_BYTES = 32 << 20
 #: Edges that are compacted together before they are sent.
 LOCAL_EDGES = 1 << 20
 #: Different paths of one minimiser that a task's chunk sends to the minimiser's bucket at most.
@@ -303,7 +306,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> D
     doc_id are not supported). An empty table gives no rows. Other columns are not read.
     """
     spark = docs.sparkSession
-    buckets = 2 * partitions(spark)
+    buckets = max(2 * partitions(spark), min(input_bytes(docs) // BUCKET_BYTES, 1 << 24))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text"))
     known = texts.where(F.col("doc").isNotNull())
     blocks = known.mapInArrow(_find(window, seed, buckets), _BLOCK)

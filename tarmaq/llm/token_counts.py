@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tarmaq.llm import textkit, tokens
+from tarmaq.llm.store import written
 
 #: Lengths summed in one window group of the suffix sums.
 BLOCK = 1024
@@ -47,6 +48,7 @@ def context_limits(hist: DataFrame) -> DataFrame:
     plus (x - length) * docs_over. Sums run within blocks of lengths and over block totals, so no
     task gets more than one block or one row per block.
     """
+    hist = written(hist)  # read twice below, counted once
     h = hist.select("length", "n_docs", (F.col("length") * F.col("n_docs")).alias("n_tokens"), F.floor(F.col("length") / BLOCK).alias("block"))
     totals = h.groupBy("block").agg(F.sum("n_docs").alias("bd"), F.sum("n_tokens").alias("bt"))
     order = Window.orderBy("block")

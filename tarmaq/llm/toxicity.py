@@ -1,6 +1,7 @@
 """Operator 1: toxicity by compression distance.
 
-Two zstandard dictionaries are made from labelled text. That of toxic text has the byte strings that are much
+Two zstandard dictionaries are made from labelled text, by choosing their content: zstandard's own trainer, run on each class's texts
+or windows, keeps what is common in both and tells the classes hardly apart (see the README). That of toxic text has the byte strings that are much
 commoner in toxic documents besides the strings that are common everywhere, that of ordinary text the latter
 only. Each window of six words is compressed with both; the bytes that the toxic dictionary saves are its
 distance. A document is described by how many of its windows reach each of several distances, and a logistic
@@ -277,16 +278,17 @@ def fit(sample: DataFrame, share: float | None = None) -> Model:
 def train(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> Model:
     """Fit on at most SAMPLE_DOCS labelled documents of each class, the first in a hash order of their ids.
 
-    Held-out labels, null labels and labels without a document are not used; of repeated labels the largest counts.
+    Held-out labels, null labels and labels without a document are not used; of repeated labels the largest counts, of different texts of one id the least.
     """
     usable = labels.select(F.col("doc_id").cast("long").alias("id"), F.col("toxic").cast("int").alias("toxic")).where(~held_out(F.col("id")) & F.col("id").isNotNull() & F.col("toxic").isNotNull())
     usable = usable.groupBy("id").agg(F.max("toxic").alias("toxic"))
     counts = {r["toxic"]: r["n"] for r in usable.groupBy((F.col("toxic") > 0).alias("toxic")).agg(F.count("*").alias("n")).collect()}
-    order = usable.orderBy(F.xxhash64("id"), "id")
-    few = order.where("toxic > 0").limit(SAMPLE_DOCS).unionByName(order.where("toxic <= 0").limit(SAMPLE_DOCS))
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    order = usable.join(texts.select("id"), "id", "left_semi").orderBy(F.xxhash64("id"), "id")
+    few = order.where("toxic > 0").limit(SAMPLE_DOCS).unionByName(order.where("toxic <= 0").limit(SAMPLE_DOCS))
     # At most 2 * SAMPLE_DOCS ids are broadcast and collected, whatever the input.
-    sample = written(texts.join(F.broadcast(few), "id").dropDuplicates(["id"]).repartition(partitions(spark), "id"))
+    sample = texts.join(F.broadcast(few), "id").groupBy("id").agg(F.max("toxic").alias("toxic"), F.min("text").alias("text"))
+    sample = written(sample.repartition(partitions(spark), "id"))
     total = sum(counts.values())
     return fit(sample, counts.get(True, 0) / total if total else None)
 

@@ -117,6 +117,21 @@ def test_js_distance():
     assert np.allclose(quality.js_distance(p, np.array([1.0, 0.0])), [0.0, 0.5579230452841438, 1.0])
 
 
+def test_mixing_with_clashing_columns(spark):
+    """Columns named as the operator's own come back unchanged, in the stage and beside the new ones."""
+    names = ["doc_id", "text", "source", "size", "target", "source_size", "copies", "key", "none", "bucket", "u", "c0"]
+    rows = [(i, "a b c " * (i + 1), f"s{i % 2}", *[f"{n}{i}" for n in names[3:]]) for i in range(9)]
+    docs = spark.createDataFrame(rows, ", ".join(f"{n} {'long' if n == 'doc_id' else 'string'}" for n in names))
+    out = mixing.mix(docs)
+    assert out.columns == [*names, "size", "source_size", "target", "copies"]
+    found = {r[0]: tuple(r) for r in out.collect()}
+    assert all(found[i][: len(names)] == rows[i] and found[i][len(names)] == 3 * (i + 1) for i in range(9))
+    stage = mixing.pipeline_mix(spark, docs, "")
+    assert stage.columns == names
+    taken = [tuple(r) for r in stage.collect()]
+    assert sorted(taken) == sorted(rows[i] for i in range(9) for _ in range(found[i][-1])) and any(found[i][-1] == 2 for i in range(9))
+
+
 @pytest.mark.parametrize("sizes", [[(100, 10), (100, 10), (100, 10)], [(1000, 1), (10, 3), (5, 5), (0, 4)], [(7, 1)], []])
 def test_mixing(spark, sizes):
     r = random.Random(4)
@@ -145,6 +160,14 @@ def test_mixing(spark, sizes):
     assert sorted(map(key, out)) == sorted(map(key, again))
 
 
+def test_repeated_rows_of_licenses(spark):
+    """Each row reports its own notices, however the table is cut; clashing columns are not read."""
+    rows = [(1, "x " + licenses.TEMPLATES["MIT line"], "template")] * 3 + [(None, licenses.TEMPLATES["MIT line"], "y")] * 2
+    for parts in (1, 5):
+        out = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string, template string").repartition(parts)).collect()
+        assert sorted(str(r["doc_id"]) for r in out) == ["1", "1", "1", "None", "None"] and {r["template"] for r in out} == {"MIT line"}
+
+
 def test_licenses(spark):
     notice = licenses.TEMPLATES["BSD conditions"]
     edited = notice.replace("source and binary", "any source").replace("Redistribution", "redistribution,")
