@@ -9,10 +9,10 @@ SF = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from tarmaq.session import local_session
 
-    session = local_session(2, 2)
+    session = local_session(2, 2, **{"spark.checkpoint.dir": str(tmp_path_factory.mktemp("checkpoints"))})
     yield session
     session.stop()
 

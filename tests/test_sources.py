@@ -102,13 +102,23 @@ def test_track_reading(spark):
     rolling = [(t0 - 1200 + 20 * k, True, 5.0, 48.0 + 0.0005 * k, 11.0) for k in range(1, 58)]
     flown = [(t0 + 10, False, 80.0, 48.1, 11.0)]
     p = pd.DataFrame(parked + rolling + flown, columns=["t", "ground", "gs", "lat", "lon"])
-    seen = matching.read_track(p, t0)
-    assert seen["lift"] == t0 + 10 and seen["first_ground"] == t0 - 3000 and seen["stand_dwell"] == 1770.0
-    assert seen["move"] == t0 - 1180 and seen["dwell_lat"] == [48.0]
-    assert "move" not in matching.read_track(p, t0, [(48.0, 11.0)])
     points = spark.createDataFrame(p).withColumn("vehicle", F.lit("v"))
-    got = matching.observe(spark.createDataFrame([(1, "v", t0)], "id long, vehicle string, takeoff double"), points).first()
-    assert got["move"] == seen["move"] and got["dwell_lon"] == [11.0]
+    match = spark.createDataFrame([(1, "v", t0)], "id long, vehicle string, takeoff double")
+    seen = matching.observe(match, points).first()
+    assert seen["lift"] == t0 + 10 and seen["first_ground"] == t0 - 3000 and seen["appear"] == t0 - 3000 and seen["stand_dwell"] == 1770.0
+    assert seen["move"] == t0 - 1180 and seen["resolution"] == 50.0 and seen["dwell_lat"] == [48.0] and seen["dwell_lon"] == [11.0]
+    pad = spark.createDataFrame([(48.0, 11.0002), (10.0, 10.0)], "lat double, lon double")
+    barred = matching.observe(match, points, pad).first()
+    assert barred["move"] is None and barred["stand_dwell"] is None and barred["dwell_lat"] == [48.0]
+    # An earlier flight, a silence, an outlier while parked, and no lift-off: the stay counts from the landing.
+    t1 = 50_000.0
+    rows = [(t1 - 9000, True, 0.0, 48.0, 11.0), (t1 - 8000, False, 90.0, 48.2, 11.0), (t1 - 5000, True, 9.0, 48.1, 11.0)]
+    rows += [(t1 - 4000 + 100 * k, True, 0.0, 48.01 if k == 7 else 48.05, 11.0) for k in range(20)]
+    rows += [(t1 - 2000, True, 0.6, 48.05, 11.0), (t1 - 1950, True, 0.7, 48.05, 11.0), (t1 - 1000, True, 8.0, 48.07, 11.0), (t1, True, 30.0, 48.09, 11.0)]
+    other = spark.createDataFrame([("w", *r) for r in rows], "vehicle string, t double, ground boolean, gs double, lat double, lon double")
+    out = matching.observe(spark.createDataFrame([(2, "w", t1), (3, "none", t1)], "id long, vehicle string, takeoff double"), other).collect()
+    assert len(out) == 1 and out[0]["lift"] is None and out[0]["first_ground"] == t1 - 5000
+    assert out[0]["appear"] == t1 and out[0]["stand_dwell"] == 2050.0 and out[0]["move"] == t1 - 2000 and out[0]["resolution"] == 100.0
     lifted = matching.lift_offs(points.select("vehicle", "t", "ground"), ["vehicle"]).collect()
     assert [r["t"] for r in lifted] == [t0 + 10]
 
