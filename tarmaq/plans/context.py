@@ -21,14 +21,20 @@ def stand_features(deps: DataFrame, arrs: DataFrame, bucket: int) -> DataFrame:
     """deps(id, stand, t, aobt), arrs(stand, t, block): seconds to the arrivals and departures at the stand around take-off."""
     known = arrs.where("block IS NOT NULL AND stand IS NOT NULL").select("stand", F.col("block").alias("in_t"))
     known = known.withColumn("in_prev", F.lag("in_t").over(Window.partitionBy("stand").orderBy("in_t")))
-    out = deps.select("id", "stand", "t", "aobt")
-    out = asof(out, known, "stand", "t", "in_t", {"_in": F.col("in_t"), "_in2": F.col("in_prev")}, bucket)
-    out = asof(out, known, "stand", "t", "in_t", {"_next": F.col("in_t")}, bucket, forward=True)
-    out = asof(out, arrs.select("stand", F.col("t").alias("land_t")), "stand", "t", "land_t", {"_land": F.col("land_t")}, bucket)
-    others = deps.select("stand", F.col("t").alias("dep_t"))
-    out = asof(out, others, "stand", "t", "dep_t", {"_pd": F.col("dep_t")}, bucket, strict=True)
-    out = asof(out, others, "stand", "t", "dep_t", {"_nd": F.col("dep_t")}, bucket, forward=True, strict=True)
-    out = asof(out, known, "stand", "aobt", "in_t", {"_since": F.col("in_t")}, bucket, forward=True)
+    base = deps.select("id", "stand", "t", "aobt")
+    lands, others = arrs.select("stand", F.col("t").alias("land_t")), deps.select("stand", F.col("t").alias("dep_t"))
+    # Each on its own and joined by id: chained, every one would read the ones before several times over.
+    found = [
+        asof(base, known, "stand", "t", "in_t", {"_in": F.col("in_t"), "_in2": F.col("in_prev")}, bucket),
+        asof(base, known, "stand", "t", "in_t", {"_next": F.col("in_t")}, bucket, forward=True),
+        asof(base, lands, "stand", "t", "land_t", {"_land": F.col("land_t")}, bucket),
+        asof(base, others, "stand", "t", "dep_t", {"_pd": F.col("dep_t")}, bucket, strict=True),
+        asof(base, others, "stand", "t", "dep_t", {"_nd": F.col("dep_t")}, bucket, forward=True, strict=True),
+        asof(base, known, "stand", "aobt", "in_t", {"_since": F.col("in_t")}, bucket, forward=True),
+    ]
+    out = base
+    for one in found:
+        out = out.join(one.drop("stand", "t", "aobt"), "id")
     c = F.col
     return out.select(
         "id", (c("t") - c("_in")).alias("stand_prev_in_gap"), (c("t") - c("_in2")).alias("stand_prev2_in_gap"), (c("_next") - c("t")).alias("stand_next_in_gap"), (c("t") - c("_land")).alias("stand_prev_land_gap"),
