@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tarmaq.llm.components import components
 from tarmaq.llm.store import written
@@ -37,21 +38,41 @@ def several(member: DataFrame, key: list[str]) -> DataFrame:
     return member.join(lists, key, "left_semi")
 
 
-def centred(post: DataFrame, confirm: Callable[[DataFrame], DataFrame], votes: int = 1) -> Linked:
-    """post(key, id, score), distinct in (key, id), one round of candidates: each list's members and its centre.
+def centred(post: DataFrame, confirm: Callable[[DataFrame], DataFrame], most: int = 4) -> Linked:
+    """post(key, id, score), distinct in (key, id): candidates are each list's members with its centre.
 
     confirm takes candidate pairs (a, b), a < b, and returns those that hold. The centre of a list is its member of
-    the greatest score, the least id on ties; a pair counts as candidate with ``votes`` lists. This is linear in the lists, and links most of a large group of
-    copies. A pair of two members, none of them the centre, is left to the caller: ``open`` has the lists with such pairs
-    across components.
+    the greatest score, the least id on ties. This is linear in the lists. Members of a large group of copies share many
+    lists with many centres, most of which say the same, so they are tried best centre first: one for each member, and as long as the
+    pairs left are more than ``most`` times their members, twice as many each round; then the rest. Between rounds only pairs
+    across components are left, so every pair of a member and a centre has been tried or lies in one component, and the
+    components are those of all of them. A pair of two members, none of them the centre, is left to the caller: ``open`` has the
+    lists with such pairs across components.
     """
-    centres = written(post.groupBy("key").agg(F.max_by("id", F.struct("score", -F.col("id"))).alias("o")))
-    pairs = post.join(centres, "key").where("id <> o").groupBy(F.least("id", "o").alias("a"), F.greatest("id", "o").alias("b")).agg(F.count("*").alias("n"))
-    tried = written(pairs.where(F.col("n") >= votes).select("a", "b"))
-    found = written(confirm(tried))
-    label = None if found.isEmpty() else components(found)
+    centres = written(post.groupBy("key").agg(F.max(F.struct("score", (-F.col("id")).alias("least"))).alias("x")).select("key", (-F.col("x")["least"]).alias("o"), F.col("x")["score"].alias("best")))
+    left = written(post.select("key", "id").join(centres, "key").where("id <> o").groupBy("id", "o").agg(F.max("best").alias("best")))
+    links, label, tried, take = None, None, None, 1
+    while True:
+        rows, members = left.agg(F.count("*"), F.count_distinct("id")).first()
+        if not rows:
+            break
+        place = F.row_number().over(Window.partitionBy("id").orderBy(F.col("best").desc(), "o"))  # at most an id's lists
+        now = left if rows <= most * members else left.withColumn("place", place).where(F.col("place") <= take)
+        pairs = written(now.select(F.least("id", "o").alias("a"), F.greatest("id", "o").alias("b")).distinct())
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        found = written(confirm(pairs))
+        if not found.isEmpty():
+            links = found if links is None else links.unionByName(found)
+            label = components(links)
+        left = left.join(pairs.select(F.col("a").alias("id"), F.col("b").alias("o")), ["id", "o"], "left_anti").join(pairs.select(F.col("b").alias("id"), F.col("a").alias("o")), ["id", "o"], "left_anti")
+        own = labelled(left, label)
+        left = written(labelled(own.select(F.col("id").alias("m"), F.col("o").alias("id"), "best", F.col("c").alias("mc")), label).where("mc <> c").select(F.col("m").alias("id"), F.col("id").alias("o"), "best"))
+        take *= 2
+    if tried is None:
+        tried = left.select(F.col("id").alias("a"), F.col("o").alias("b"))
+    centres = centres.select("key", "o")
     rest = labelled(post.select("key", "id"), label).join(centres, "key").where("id <> o").select("key", "id", "c")
-    return Linked(None if label is None else found, label, written(several(rest, ["key"])), centres, tried)
+    return Linked(links, label, written(several(rest, ["key"])), centres, tried)
 
 
 def settled(post: DataFrame, confirm: Callable[[DataFrame], DataFrame], first: Linked, most: int = 4) -> DataFrame | None:
