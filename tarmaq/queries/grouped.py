@@ -117,9 +117,10 @@ def q33_keyed_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q33b_missing_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = scan(spark, f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("id"))
-    o = scan(spark, f"{sf_dir}/orders.parquet").select(F.col("o_custkey").alias("id"))
-    return c.join(o, "id", "left_anti")
+    """Orders without a line."""
+    o = scan(spark, f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("id"))
+    l = scan(spark, f"{sf_dir}/lineitem.parquet").select(F.col("l_orderkey").alias("id"))
+    return o.join(l, "id", "left_anti")
 
 
 QUERIES = {f.__name__: f for f in (q08_reference_levels, q09_reference_union, q10_reference_fallback, q16_full_outer, q17_configuration, q21_group_quantiles, q22_shares, q22b_frequent, q23_histogram, q30_unions, q32_largest_changes, q33_keyed_output, q33b_missing_ids)}
@@ -173,5 +174,5 @@ SELECT c_nationkey::BIGINT AS nation, round(c_acctbal)::DOUBLE AS balance, 'c' A
     "q33_keyed_output": f"""
 WITH p AS (SELECT o_custkey AS id, max(o_orderkey) * 25 / 2.0 - 5000 AS pred, count(*) AS copies FROM orders GROUP BY 1)
 SELECT c_custkey AS id, round_even(least(greatest(pred, 0.0), {MOST}), 0)::INT AS value, pred IS NULL AS missing, coalesce(copies, 0) > 1 AS repeated FROM customer LEFT JOIN p ON p.id = c_custkey""",
-    "q33b_missing_ids": "SELECT c_custkey AS id FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)",
+    "q33b_missing_ids": "SELECT o_orderkey AS id FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)",
 }
