@@ -74,15 +74,20 @@ def row_bootstrap(df: DataFrame, id_column: str, errors: dict[str, Column], draw
 
 
 def ablation(df: DataFrame, rules: Callable[..., DataFrame], names: Sequence[str], id_column: str, truth: str) -> DataFrame:
-    """rule, rmse, delta to all rules, rows changed, for each rule left out."""
-    full = rules(df).select(id_column, truth, F.col("pred").alias("_full"))
-    out = None
-    for name in names:
-        one = rules(df, leave_out=(name,)).select(id_column, F.col("pred").alias("_less"))
-        j = full.join(one, id_column).agg(rmse(F.col("_less"), F.col(truth)).alias("rmse"), (rmse(F.col("_less"), F.col(truth)) - rmse(F.col("_full"), F.col(truth))).alias("delta"), F.count_if(~F.col("_less").eqNullSafe(F.col("_full"))).alias("changed"))
-        part = j.select(F.lit(name).alias("rule"), "*")
-        out = part if out is None else out.unionByName(part)
-    return out
+    """rule, rmse, delta to all rules, rows changed, for each rule left out.
+
+    rules keep every row and change pred only. A row without a rule meets the rows of its id with all rules; all rules
+    left out share one join, so df is computed twice however many they are.
+    """
+    full = rules(df).select(id_column, F.col("pred").alias("_full"))
+    less = df.withColumn("_pred", F.col("pred"))
+    for i, name in enumerate(names):
+        less = rules(less.withColumn("pred", F.col("_pred")), leave_out=(name,)).withColumn(f"_less_{i}", F.col("pred"))
+    cut = {name: F.col(f"_less_{i}") for i, name in enumerate(names)}
+    j = less.select(id_column, truth, *cut.values()).join(full, id_column)
+    base = rmse(F.col("_full"), F.col(truth))
+    found = {name: F.struct(F.lit(name).alias("rule"), rmse(c, F.col(truth)).alias("rmse"), (rmse(c, F.col(truth)) - base).alias("delta"), F.count_if(~c.eqNullSafe(F.col("_full"))).alias("changed")) for name, c in cut.items()}
+    return j.agg(F.array(*found.values()).alias("_found")).select(F.inline("_found"))
 
 
 def out_of_fold(df: DataFrame, fold: str, folds: Sequence[int], fit: Callable[[DataFrame], Callable[[DataFrame], DataFrame]]) -> DataFrame:
