@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarmaq.llm import textkit
-from tarmaq.llm.rounds import centred, settled
+from tarmaq.llm.rounds import in_turns, settled
 from tarmaq.llm.store import written
 
 SCALES = (1.0, 0.7, 0.5)
@@ -38,6 +38,8 @@ TURNS = 32
 BITS = 256
 #: Hamming tables, the bits of each descriptor in a key, and the neighbours that a corner is paired with.
 TABLES, KEY_BITS, NEIGHBOURS = 4, 25, 3
+#: The lists of one in so many keys are tried first; most others then lie within one component.
+FIRST_KEYS = 8
 #: Sectors of a pair's two turns: of its direction, and of the neighbour's orientation, both against the corner's own.
 SECTORS = 12
 #: Rounds of smoothing before brightness is compared, and the least difference, in mean deviations of the patch.
@@ -332,7 +334,7 @@ def image_groups(media: DataFrame, id_column: str = "media_id", bytes_column: st
         whole = pairs.join(parts.toDF("a", "ca", "wa"), "a").join(parts.toDF("b", "cb", "wb"), "b")
         return whole.select("a", "b", "ca", "wa", "cb", "wb").mapInArrow(_consensus, "a long, b long")
 
-    label = settled(post, confirm, centred(post, confirm))
+    label = settled(post, confirm, in_turns(post, confirm, FIRST_KEYS))
     if label is not None:
         classes = classes.join(label.withColumnRenamed("id", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
     else:

@@ -38,7 +38,28 @@ def several(member: DataFrame, key: list[str]) -> DataFrame:
     return member.join(lists, key, "left_semi")
 
 
-def centred(post: DataFrame, confirm: Callable[[DataFrame], DataFrame], most: int = 4) -> Linked:
+def _across(left: DataFrame, tried: DataFrame, label: DataFrame | None) -> DataFrame:
+    """The rows of left(id, o, best) that were not tried, either way round, and whose ends lie in two components."""
+    left = left.join(tried.select(F.col("a").alias("id"), F.col("b").alias("o")), ["id", "o"], "left_anti").join(tried.select(F.col("b").alias("id"), F.col("a").alias("o")), ["id", "o"], "left_anti")
+    own = labelled(left, label)
+    return labelled(own.select(F.col("id").alias("m"), F.col("o").alias("id"), "best", F.col("c").alias("mc")), label).where("mc <> c").select(F.col("m").alias("id"), F.col("id").alias("o"), "best")
+
+
+def in_turns(post: DataFrame, confirm: Callable[[DataFrame], DataFrame], first: int) -> Linked:
+    """centred with the lists of one in ``first`` keys, then with those others whose members still lie in several components.
+
+    Members of a large group of copies share many lists. A part of them links most of the group, and a list within one component has
+    no pair left to try, so most lists never meet their centres; no pair across components is left out.
+    """
+    head = F.pmod(F.xxhash64("key"), F.lit(first)) == 0
+    one = centred(post.where(head), confirm)
+    left = written(several(labelled(post.where(~head), one.label), ["key"]).drop("c"))
+    two = centred(left, confirm, known=one)
+    still = several(labelled(one.open.drop("c"), two.label), ["key"])
+    return Linked(two.links, two.label, still.unionByName(two.open), one.centres.unionByName(two.centres), two.tried)
+
+
+def centred(post: DataFrame, confirm: Callable[[DataFrame], DataFrame], most: int = 4, known: Linked | None = None) -> Linked:
     """post(key, id, score), distinct in (key, id): candidates are each list's members with its centre.
 
     confirm takes candidate pairs (a, b), a < b, and returns those that hold. The centre of a list is its member of
@@ -47,11 +68,13 @@ def centred(post: DataFrame, confirm: Callable[[DataFrame], DataFrame], most: in
     pairs left are more than ``most`` times their members, twice as many each round; then the rest. Between rounds only pairs
     across components are left, so every pair of a member and a centre has been tried or lies in one component, and the
     components are those of all of them. A pair of two members, none of them the centre, is left to the caller: ``open`` has the
-    lists with such pairs across components.
+    lists with such pairs across components. ``known``: what other lists have linked and tried, which the result has too.
     """
     centres = written(post.groupBy("key").agg(F.max(F.struct("score", (-F.col("id")).alias("least"))).alias("x")).select("key", (-F.col("x")["least"]).alias("o"), F.col("x")["score"].alias("best")))
-    left = written(post.select("key", "id").join(centres, "key").where("id <> o").groupBy("id", "o").agg(F.max("best").alias("best")))
-    links, label, tried, take = None, None, None, 1
+    left = post.select("key", "id").join(centres, "key").where("id <> o").groupBy("id", "o").agg(F.max("best").alias("best"))
+    links, label, tried = (known.links, known.label, known.tried) if known else (None, None, None)
+    left = written(_across(left, tried, label) if known else left)
+    take = 1
     while True:
         rows, members = left.agg(F.count("*"), F.count_distinct("id")).first()
         if not rows:
@@ -64,9 +87,7 @@ def centred(post: DataFrame, confirm: Callable[[DataFrame], DataFrame], most: in
         if not found.isEmpty():
             links = found if links is None else links.unionByName(found)
             label = components(links)
-        left = left.join(pairs.select(F.col("a").alias("id"), F.col("b").alias("o")), ["id", "o"], "left_anti").join(pairs.select(F.col("b").alias("id"), F.col("a").alias("o")), ["id", "o"], "left_anti")
-        own = labelled(left, label)
-        left = written(labelled(own.select(F.col("id").alias("m"), F.col("o").alias("id"), "best", F.col("c").alias("mc")), label).where("mc <> c").select(F.col("m").alias("id"), F.col("id").alias("o"), "best"))
+        left = written(_across(left, pairs, label))
         take *= 2
     if tried is None:
         tried = left.select(F.col("id").alias("a"), F.col("o").alias("b"))
